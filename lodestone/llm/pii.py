@@ -59,13 +59,17 @@ def base_spans(text: Column) -> Column:
 
     def card(x):
         d = F.regexp_replace(x["value"], "[ -]", "")
-        return F.when(F.length(d).between(14, 19), F.luhn_check(d)).otherwise(False)
+        return F.when(F.length(d).between(14, 19), F.call_function("luhn_check", d)).otherwise(False)
 
     cards = F.filter(matches(text, PATTERNS[2], 2, digits), card)
     phones = F.filter(matches(text, PATTERNS[3], 3, digits & F.contains(text, F.lit("+"))), lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", "")).between(10, 15))
     return F.sort_array(F.concat(email, ip, cards, phones))
 
 
+def _is(kind: int):
+    return lambda x: x["kind"] == kind
+
+
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     kind = lambda x: F.element_at(F.array(*map(F.lit, (*KINDS, "term"))), x["kind"] + 1)
@@ -133,7 +137,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     out = rows.join(terms, "key", "left")
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     more = F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,remove:boolean>>)")), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select(F.col("id").alias(id_col), *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.sort_array(F.concat(base, more))).alias("spans"), F.size(more).cast("long").alias("n_terms"))
 
 
