@@ -1,4 +1,6 @@
 """Queries by name and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from lodestone.plans.oracles import ORACLE_SQL
+from lodestone.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
