@@ -105,5 +105,6 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
     best = F.max(F.struct((F.col("kind") == "rule").alias("is_rule"), (F.col("host_len") + F.col("path_len")).alias("long"), "host_len", "verdict", "rule"))
     judged = hits.groupBy("__url").agg(best.alias("best")).select("__url", F.col("best.rule").alias("__rule"), F.col("best.verdict").alias("__verdict"))
     names = fresh(pages, "host", "path", "rule", "verdict")
-    out = pages.join(judged, F.col(url_col) == url, "left")
-    return out.select(*(pages[c] for c in pages.columns), host(pages[url_col]).alias(names[0]), path(pages[url_col]).alias(names[1]), F.col("__rule").alias(names[2]), F.coalesce(F.col("__verdict"), F.lit("allow")).alias(names[3]))
+    own = fresh(pages, "__url", "__rule", "__verdict")
+    out = pages.join(judged.toDF(*own), F.col(url_col) == F.col(own[0]), "left")
+    return out.select(*pages.columns, host(F.col(url_col)).alias(names[0]), path(F.col(url_col)).alias(names[1]), F.col(own[1]).alias(names[2]), F.coalesce(F.col(own[2]), F.lit("allow")).alias(names[3]))
