@@ -23,7 +23,8 @@ BROADCAST_TERMS = 200_000
 
 def with_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs with ``ord``, the place in key order, without one task for all rows: range-partitioned, then
-    numbered within the partitions and shifted by the sizes of those before."""
+    numbered within the partitions and shifted by the sizes of those before. All columns of docs are moved;
+    for large texts give the keys alone and join what is needed."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of our own is kept by AQE
     ranged = docs.repartitionByRange(parts, F.col(key)).withColumn("__p", F.spark_partition_id())
     ranged = ranged.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(key)))
@@ -158,13 +159,14 @@ def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10) -
 def gold_ranks(scored: DataFrame, gold: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, rank): the rank of each gold document (query_id, doc_id) in the ranking of all
     documents, without making that ranking: 1 + better ones + ties before it. A gold document that the query
-    doesn't hit comes after all hits, among the others by place."""
-    g = gold.join(docs.select("doc_id", "ord"), "doc_id").join(scored.select("query_id", "ord", "score"), ["query_id", "ord"], "left")
-    g = g.select("query_id", "doc_id", F.col("ord").alias("gord"), F.round(F.coalesce("score", F.lit(0.0)), 9).alias("gscore"))
-    s = scored.select("query_id", "ord", F.round("score", 9).alias("score"))
+    doesn't hit comes after all hits, among the others by place. docs: (doc_id, ord), ord counting from 0."""
+    order = docs.select("doc_id", "ord")
+    wanted = scored.join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    s = wanted.select("query_id", "doc_id", F.round("score", 9).alias("score")).join(order, "doc_id")
+    g = gold.select("query_id", "doc_id").join(order.withColumnRenamed("ord", "gord"), "doc_id").join(s.select("query_id", "doc_id", F.col("score").alias("gscore")), ["query_id", "doc_id"], "left")
+    g = g.select("query_id", "doc_id", "gord", F.coalesce("gscore", F.lit(0.0)).alias("gscore"))
     ahead = (F.col("score") > F.col("gscore")) | ((F.col("score") == F.col("gscore")) & (F.col("ord") < F.col("gord")))
-    # hits ahead of it, and for a gold document at score 0 also the documents before it that are no hits
-    counted = g.join(s, "query_id", "left").groupBy("query_id", "doc_id", "gord", "gscore").agg(
+    counted = g.join(s.select("query_id", "ord", "score"), "query_id", "left").groupBy("query_id", "doc_id", "gord", "gscore").agg(
         F.count_if(F.coalesce(ahead, F.lit(False))).alias("ahead"), F.count_if(F.coalesce(F.col("ord") < F.col("gord"), F.lit(False))).alias("hits_before"))
     other = F.when(F.col("gscore") == 0, F.col("gord") - F.col("hits_before")).otherwise(F.lit(0))
     return counted.select("query_id", "doc_id", (1 + F.col("ahead") + other).cast("bigint").alias("rank"))

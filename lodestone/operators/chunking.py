@@ -141,11 +141,19 @@ def chunk_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """chunks with ``ord``, the place in the corpus: by document, then chunk, then part."""
+    """chunks with ``ord``, the place in the corpus: by document, then chunk, then part. Documents are given
+    places by running sums of their numbers of chunks, in two steps; chunks meet their document's place in one
+    shuffle by doc_id."""
     from lodestone.operators.bm25 import with_order
 
-    place = F.struct("doc_id", F.col("metadata.chunk_index"), F.coalesce(F.col("metadata.split_index"), F.lit(0)))
-    return with_order(chunks.withColumn("__place", place), "__place").drop("__place")
+    per = chunks.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    placed = with_order(per, "doc_id").withColumn("__bucket", F.expr("ord div 4096"))
+    inside = W.partitionBy("__bucket").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("__bucket").agg(F.sum("__n").alias("__t"))
+    before = totals.select("__bucket", F.coalesce(F.sum("__t").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    start = placed.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(before, "__bucket").select("doc_id", (F.col("__before") + F.col("__in")).alias("__start"))
+    within = W.partitionBy("doc_id").orderBy("metadata.chunk_index", F.coalesce("metadata.split_index", F.lit(0)))
+    return chunks.join(start, "doc_id").withColumn("ord", F.col("__start") + F.row_number().over(within) - 1).drop("__start")
 
 
 def violations(chunks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -17,7 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    return bm25.with_order(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The documents in order of their ids, which serve as places as they are."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ord"), "text")
+
+
+def _places(spark, sf_dir) -> DataFrame:
+    return bm25.with_order(table(spark, sf_dir, "documents").select("doc_id"))
 
 
 def _benchmark(spark, sf_dir) -> DataFrame:
@@ -295,14 +300,14 @@ def retrieval_metrics_bm25(spark, sf_dir):
     """Gold: the documents that hold the query's text; queries without any are left out."""
     scored = bm25.score_corpus(_corpus(spark, sf_dir), _benchmark(spark, sf_dir))
     gold = _bm25_gold(spark, sf_dir).withColumnRenamed("item", "doc_id")
-    ranks = bm25.gold_ranks(scored, gold, bm25.lengths(_corpus(spark, sf_dir))).withColumnRenamed("doc_id", "item")
+    ranks = bm25.gold_ranks(scored, gold, _places(spark, sf_dir)).withColumnRenamed("doc_id", "item")
     return _rounded(retrieval_metrics.per_query(ranks, K), *retrieval_metrics.METRICS)
 
 
 def gold_ranks_full_depth(spark, sf_dir):
     scored = bm25.score_corpus(_corpus(spark, sf_dir), _benchmark(spark, sf_dir))
     gold = _bm25_gold(spark, sf_dir).withColumnRenamed("item", "doc_id")
-    return bm25.gold_ranks(scored, gold, bm25.lengths(_corpus(spark, sf_dir)))
+    return bm25.gold_ranks(scored, gold, _places(spark, sf_dir))
 
 
 def _dense_ranked(spark, sf_dir):
