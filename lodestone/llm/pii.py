@@ -3,7 +3,7 @@
 The patterns find the protected entities themselves. A term that stands near an entity discloses it if
 the corpus shows the two together so often that seeing the term tells the entity: the information
 log2(P(entity | term) / P(entity)) is above ``bits``, P(entity | term) above ``posterior``, both estimated
-from the distinct texts that hold them. Entities and merely telling terms are generalised to their kind;
+from the documents that hold them, and at least ``support`` distinct texts show the two together. Entities and merely telling terms are generalised to their kind;
 terms that all but determine the entity are removed. All DataFrame expressions.
 """
 
@@ -94,18 +94,22 @@ def _contexts(found: DataFrame, reach: int) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, contexts: DataFrame, text_col: str, bits: float, posterior: float, support: int) -> DataFrame:
-    """(entity, term, p): the pairs above the thresholds, over all documents; p is P(entity | term)."""
-    together = contexts.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    """(entity, term, p): the pairs above the thresholds, over all documents; p is P(entity | term).
+
+    Probabilities count documents; the support counts distinct texts, so one text and its copies prove
+    nothing. A document has each of its terms once, so terms are counted by partial sums, without a distinct.
+    """
+    per_text = contexts.select("entity", "term", "text_hash", "key").distinct().groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
+    together = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     together = cut(together)
     # Terms and entities of which the corpus counts are wanted.
     terms = cut(together.select("term").distinct())
     small = terms.count() <= _BROADCAST_TERMS
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = docs.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)))).alias("term"))
-    held = held.join(F.broadcast(terms) if small else terms, "term", "left_semi")
-    n_term = held.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = contexts.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = docs.select(F.xxhash64(text).alias("text_hash")).distinct().agg(F.count("*").alias("n"))
+    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)))).alias("term"))
+    n_term = (held.join(F.broadcast(terms), "term", "left_semi") if small else held).groupBy("term").agg(F.count("*").alias("n_term"))
+    n_entity = contexts.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n = docs.agg(F.count("*").alias("n"))
     p = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     joined = together.join(n_term, "term").join(n_entity, "entity").crossJoin(F.broadcast(n)).withColumn("p", p)
     return joined.where((F.log2(F.col("p") * F.col("n") / F.col("n_entity")) >= bits) & (F.col("p") >= posterior)).select("entity", "term", "p")
@@ -115,7 +119,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     """(rows, terms): per row of docs its id, key and base spans; per key the spans of disclosing terms.
 
     A term's span has kind 4 and ``remove``, true if P(entity | term) is at least ``removed``. Null text
-    counts as empty. Copies are one text in all counts. Rows that repeat share a key and have equal results;
+    counts as empty. Rows that repeat share a key, have equal results and are one document beside an entity;
     null ids stay. An empty table gives empty results.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -43,15 +43,14 @@ def brute_terms(texts, reach, bits, posterior, support):
     import re
 
     token = re.compile(r"[^\W]+")
-    distinct = sorted({t or "" for t in texts})
     context, holders, n_e = {}, {}, {}
-    for t in distinct:
+    for i, t in enumerate(t or "" for t in texts):
         for w in {m[0].lower() for m in token.finditer(t)}:
-            holders.setdefault(w, set()).add(t)
+            holders.setdefault(w, set()).add(i)
         spans = brute.pii_spans(t)
         for s, k, e, _ in spans:
             entity = (k, t[s:e].lower())
-            n_e.setdefault(entity, set()).add(t)
+            n_e.setdefault(entity, set()).add(i)
             low = max(0, s - reach)
             for a, b in ((low, s), (e, min(len(t), e + reach))):
                 for m in token.finditer(t[a:b]):
@@ -60,13 +59,13 @@ def brute_terms(texts, reach, bits, posterior, support):
                         continue
                     if any(p < y and x < q for p, _, q, _ in spans):
                         continue
-                    context.setdefault((entity, m[0].lower()), []).append((t, x, y))
+                    context.setdefault((entity, m[0].lower()), []).append((i, t, x, y))
     out = set()
     for (entity, term), places in context.items():
-        both = {t for t, _, _ in places}
+        both = {i for i, *_ in places}
         p = len(both) / len(holders[term])
-        if len(both) >= support and p >= posterior and math.log2(p * len(distinct) / len(n_e[entity])) >= bits:
-            out |= set(places)
+        if len({t for _, t, *_ in places}) >= support and p >= posterior and math.log2(p * len(texts) / len(n_e[entity])) >= bits:
+            out |= {x[1:] for x in places}
     return out
 
 
