@@ -124,7 +124,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     key, gone = fresh(docs, "__key", "__gone")
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(host_col).cast("string"), text))
-    kept = verdicts.where("kept").select(F.col("key").alias(key)).distinct()
+    kept = cut(verdicts).where("kept").select(F.col("key").alias(key)).distinct()
     out = keyed.join(kept, key, "left_semi").join(removed.select(F.col("key").alias(key), F.col("lines").alias(gone)), key, "left")
     rest = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
     out = out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(F.array_join(rest, "\n")))
