@@ -110,10 +110,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def query_batches(queries: DataFrame) -> list[DataFrame]:
+    """queries (query_id, qvec) in parts of about QUERY_BATCH rows, dealt by a hash of the id."""
+    parts = max(1, -(-queries.count() // QUERY_BATCH))
+    if parts == 1:
+        return [queries]
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+
+
 def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, item, score) of every item for every query, in double precision: for full-depth rankings
-    of few queries. index: (item, embedding); queries: (query_id, qvec)."""
-    return index.crossJoin(F.broadcast(queries)).select("query_id", "item", dot(F.col("embedding"), F.col("qvec")).alias("score"))
+    of a set of test queries, block by block. index: (item, embedding); queries: (query_id, qvec)."""
+    out = None
+    for batch in query_batches(queries.select("query_id", "qvec")):
+        one = index.crossJoin(F.broadcast(batch)).select("query_id", "item", dot(F.col("embedding"), F.col("qvec")).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -125,15 +137,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     kind, qkind = index.schema["item"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     q = queries.where("qvec is not null").select("query_id", "qvec")
-    ids = q.select("query_id")
-    n = ids.count()
-    if n > QUERY_BATCH:
-        parts = -(-n // QUERY_BATCH)
-        groups = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-    else:
-        groups = [q]
     out = None
-    for group in groups:
+    for group in query_batches(q):
         rows = group.collect()  # QUERY_BATCH vectors or so
         if not rows:
             continue
