@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from lodestone.shipping import ship
 
-_LEAF = 2048
-_WINDOW = 48
+_LEAF = 256
+_WINDOW = 32
 _CLASS = regex.compile(r"(\p{White_Space})|(\p{L})|(\p{N})|(.)", regex.S)
 
 
