@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.tables import cut
 
 K1, B = 1.5, 0.75
 #: Rows of the queries' terms up to which they are broadcast to the postings.
@@ -76,12 +77,12 @@ class Index:
     def build(corpus: DataFrame, k1: float = K1, b: float = B) -> Index:
         lens = lengths(corpus)
         one = stats(lens)
-        tf = corpus.select("doc_id", "ord", F.explode(T.words("text")).alias("term"))
-        tf = tf.groupBy("doc_id", "ord", "term").agg(F.count("*").cast("bigint").alias("tf"))
-        terms = document_frequencies(tf).crossJoin(F.broadcast(one)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-        joined = tf.join(terms.select("term", "idf"), "term").join(lens.select("ord", "doc_len"), "ord").crossJoin(F.broadcast(one))
+        w_ = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").cast("bigint").alias("doc_len"), F.explode("w").alias("term"))
+        tf = cut(w_.groupBy("doc_id", "ord", "doc_len", "term").agg(F.count("*").cast("bigint").alias("tf")))
+        terms = cut(document_frequencies(tf).crossJoin(F.broadcast(one)).select("term", "df", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf")))
+        joined = tf.join(terms.select("term", "idf", "avg_len"), "term")
         w = weight(F.col("tf"), F.col("idf"), F.col("doc_len"), F.col("avg_len"), k1, b)
-        return Index(joined.select("term", "ord", "doc_id", "tf", w.alias("w")), terms, lens, one)
+        return Index(joined.select("term", "ord", "doc_id", "tf", w.alias("w")), terms.drop("avg_len"), lens, one)
 
     def save(self, folder: str) -> None:
         """Parquet tables; postings lie in ranges of terms, so a search reads few row groups."""
@@ -101,7 +102,7 @@ class Index:
         return score(self.postings, queries)
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        return top_k(self.scores(queries), queries, self.docs, k)
+        return top_k(parts(self.postings, queries), queries, self.docs, k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -110,31 +111,43 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return w.groupBy("query_id", "term").agg(F.count("*").cast("bigint").alias("qtf"))
 
 
+def parts(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, ord, doc_id, score): what each shared word adds to a document's score."""
+    hit = postings.join(query_terms(queries), "term")
+    return hit.select("query_id", "ord", "doc_id", (F.col("qtf") * F.col("w")).alias("score"))
+
+
+def summed(parts_: DataFrame) -> DataFrame:
+    return parts_.groupBy("query_id", "ord", "doc_id").agg(F.sum("score").alias("score"))
+
+
 def score(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, ord, doc_id, score) of the documents that hold a word of the query."""
-    hit = postings.join(query_terms(queries), "term")
-    return hit.groupBy("query_id", "ord", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    return summed(parts(postings, queries))
 
 
 def search_corpus(corpus: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
     """Top-k without an index: one pass over the texts in which only words of the queries are exploded."""
-    return top_k(score_corpus(corpus, queries, k1, b), queries, lengths(corpus), k)
+    return top_k(parts(corpus_postings(corpus, queries, k1, b), queries), queries, corpus.select("doc_id", "ord"), k)
 
 
 def score_corpus(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``score`` straight from the texts. The semi-join by the queries' words comes before any shuffle when
-    their number allows a broadcast; document frequencies of other words are never needed."""
-    asked = query_terms(queries)
-    wanted = asked.select("term").distinct()
+    """``score`` straight from the texts."""
+    return score(corpus_postings(corpus, queries, k1, b), queries)
+
+
+def corpus_postings(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """Postings of the queries' words only, written once, as document frequencies and scores both need them.
+    The semi-join by these words comes before any shuffle when their number allows a broadcast; document
+    frequencies of other words are never needed."""
+    wanted = cut(query_terms(queries).select("term").distinct())
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
     w = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
-    tf = w.join(wanted, "term", "left_semi").groupBy("doc_id", "ord", "doc_len", "term").agg(F.count("*").cast("bigint").alias("tf"))
+    tf = cut(w.join(wanted, "term", "left_semi").groupBy("doc_id", "ord", "doc_len", "term").agg(F.count("*").cast("bigint").alias("tf")))
     one = F.broadcast(stats(lengths(corpus)))
     terms = document_frequencies(tf).crossJoin(one).select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    per = asked.join(terms, "term")
-    hit = tf.join(per, "term").withColumn("w", weight(F.col("tf"), F.col("idf"), F.col("doc_len"), F.col("avg_len"), k1, b))
-    return hit.groupBy("query_id", "ord", "doc_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    return tf.join(terms, "term").withColumn("w", weight(F.col("tf"), F.col("idf"), F.col("doc_len"), F.col("avg_len"), k1, b)).select("term", "ord", "doc_id", "tf", "w")
 
 
 def rank_order() -> list[Column]:
@@ -142,18 +155,17 @@ def rank_order() -> list[Column]:
     return [F.round("score", 9).desc(), F.col("ord").asc()]
 
 
-def top_k(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, ord, score), k rows per query. Queries with fewer hits are filled up with
-    the first documents of the corpus that they don't hit, at score 0."""
+def top_k(parts_: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, doc_id, ord, score), k rows per query, from summands (query_id, ord, doc_id, score).
+
+    Queries with fewer hits are filled up with the first documents of the corpus that they don't hit, at
+    score 0: each query gets the first 2k documents as summands of 0, and k hits can hide at most k of these.
+    """
+    first = docs.orderBy("ord").limit(2 * k).select("doc_id", "ord")
+    pad = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).select("query_id", "ord", "doc_id", F.lit(0.0).alias("score"))
     best = W.partitionBy("query_id").orderBy(*rank_order())
-    hits = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    first = docs.orderBy("ord").limit(2 * k).select("doc_id", "ord")  # k hits can hide k of them at most
-    n = hits.groupBy("query_id").agg(F.max("rank").alias("n"))
-    short = queries.select("query_id").distinct().join(n, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
-    fill = short.join(F.broadcast(first)).join(hits.select("query_id", "ord"), ["query_id", "ord"], "left_anti")
-    fill = fill.withColumn("rank", F.col("n") + F.row_number().over(W.partitionBy("query_id").orderBy("ord"))).where(F.col("rank") <= k)
-    columns = ["query_id", "rank", "doc_id", "ord", "score"]
-    return hits.select(*columns).unionByName(fill.withColumn("score", F.lit(0.0)).select(*columns))
+    hits = summed(parts_.unionByName(pad)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return hits.select("query_id", "rank", "doc_id", "ord", "score")
 
 
 def gold_ranks(scored: DataFrame, gold: DataFrame, docs: DataFrame) -> DataFrame:
