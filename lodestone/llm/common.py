@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.tables import cut, shared_folder
+
+__all__ = ["GAP", "LOWER", "UPPER", "WORD", "cut", "fresh", "shared_folder", "table", "word_count"]
+
 #: A word is a longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -37,24 +35,3 @@ def word_count(text: Column) -> Column:
     """Number of words; 0 for null or empty text."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{GAP}|{GAP}\z", "")
     return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, GAP, -1))).cast("long")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written as Parquet into spark.checkpoint.dir, which every executor can read, and
-    read again. A folder of our own is used only where the session names none (tests, notebooks)."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_folder()
-
-
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="lodestone-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
