@@ -67,6 +67,18 @@ def windows(ranges: DataFrame, doc_tokens: DataFrame, coverage: int = COVERAGE_T
     return one.unionByName(pack_windows(r.where(F.col("n_tokens") > context).drop("n_tokens"), coverage, context))
 
 
+def window_texts(docs: DataFrame, chunks: DataFrame, tokens: DataFrame, wins: DataFrame) -> DataFrame:
+    """(doc_id, window, base, text, spans): the text that the model sees for each window, from the window's
+    first to its last token, base code points into the document, and the spans of the chunks that it owns.
+    docs: (doc_id, text); chunks: (doc_id, chunk_id, char_start, char_end); tokens: (doc_id, tok, start, end)."""
+    ends = wins.select("doc_id", "window", F.explode(F.array(F.col("context_start"), F.col("window_end") - 1)).alias("tok"))
+    cuts = ends.join(tokens, ["doc_id", "tok"]).groupBy("doc_id", "window").agg(F.min("start").alias("base"), F.max("end").alias("stop"))
+    owned = wins.select("doc_id", "window", F.explode("owned").alias("chunk_id")).join(chunks.select("chunk_id", "char_start", "char_end"), "chunk_id")
+    spans = owned.groupBy("doc_id", "window").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "char_start", "char_end"))).alias("spans"))
+    text = F.substring("text", F.col("base") + 1, F.col("stop") - F.col("base"))
+    return cuts.join(spans, ["doc_id", "window"]).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "window", "base", text.alias("text"), "spans")
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 

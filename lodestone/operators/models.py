@@ -105,6 +105,44 @@ def token_vectors(docs: DataFrame, make: Callable[[], Embedder]) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, tok int, start int, end int, vec array<double>")
 
 
+def token_spans(docs: DataFrame, make: Callable[[], Embedder]) -> DataFrame:
+    """(doc_id, tok, start, end): the embedder's tokens of docs (doc_id, text), whole texts."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        model = make()
+        for pdf in batches:
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                if spans := model.tokens(t or ""):
+                    yield pd.DataFrame({"doc_id": d, "tok": range(len(spans)), "start": [a for a, _ in spans], "end": [b for _, b in spans]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, tok int, start int, end int")
+
+
+def embed_windows(windows: DataFrame, make: Callable[[], Embedder]) -> DataFrame:
+    """(chunk_id, embedding) of windows (text, base, spans array<struct<chunk_id, char_start, char_end>>):
+    one model pass per window; each owned span's vector is the mean, scaled to length 1, of the vectors of the
+    tokens with a width that lie in it, null if there are none. Token vectors don't leave the Python worker."""
+    ship(windows.sparkSession)
+
+    def run(batches):
+        model = make()
+        for pdf in batches:
+            ids, out = [], []
+            for text, base, spans in zip(pdf["text"], pdf["base"], pdf["spans"], strict=True):
+                at, vec = np.array(model.tokens(text or "")).reshape(-1, 2) + int(base), model.token_vectors(text or "")
+                for s in spans:
+                    inside = (at[:, 0] >= s["char_start"]) & (at[:, 1] <= s["char_end"]) & (at[:, 1] > at[:, 0])
+                    mean = vec[inside].mean(axis=0) if inside.any() else None
+                    size = 0.0 if mean is None else np.linalg.norm(mean)
+                    ids.append(s["chunk_id"])
+                    out.append((mean / size).tolist() if size else None)
+            yield pd.DataFrame({"chunk_id": ids, "embedding": out})
+
+    return windows.select("text", "base", "spans").mapInPandas(run, "chunk_id string, embedding array<double>")
+
+
 def generate(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
     """prompts (.., system, prompt) with answer_text, stripped."""
 

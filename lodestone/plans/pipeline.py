@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import bm25, chunking, dense, generation_metrics, models, preprocess, rag, retrieval_metrics, review
 from lodestone.sources import readers, writers
 
+log = logging.getLogger(__name__)
+
 STAGES = ("fetch", "preprocess", "chunk", "bm25", "dense", "evaluate_retrieval", "generate", "evaluate_generation", "summarise", "diagnose")
 
 
@@ -29,6 +33,7 @@ class Pipeline:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         writers.parquet(df, self.path(name))
+        log.info("%s written", self.path(name))
         return self.read(name)
 
     def fetch(self, members: DataFrame, **keep) -> DataFrame:
@@ -51,16 +56,22 @@ class Pipeline:
         bm25.Index.build(self.corpus()).save(self.path("bm25"))
         return bm25.Index.load(self.spark, self.path("bm25"))
 
-    def dense(self) -> DataFrame:
-        """Late chunking: token vectors of whole documents pooled over each chunk's span; a chunk without
-        tokens of its own is embedded by its text. Vectors are of the text that chunk offsets refer to."""
+    def dense(self, coverage: int = dense.COVERAGE_TOKENS, context: int = dense.MAX_CONTEXT_TOKENS) -> DataFrame:
+        """Late chunking: the model sees a document, or windows of a long one, and each chunk's vector is
+        pooled from its own tokens; a chunk without any is embedded by its text. Offsets refer to the
+        normalised text without demo markers. The report counts windows and fallbacks."""
         chunks = self.read("chunks")
-        docs = self.read("docs").select("doc_id", chunking.T.without_markers(chunking.T.normalize(F.col("text"))).alias("text"))
-        vectors = models.token_vectors(docs, self.embedder)
-        pooled = dense.pool_spans(chunks.select("doc_id", "chunk_id", "char_start", "char_end"), vectors)
+        docs = self.read("docs").select("doc_id", T.without_markers(T.normalize(F.col("text"))).alias("text"))
+        tokens = self.write("tokens", models.token_spans(docs, self.embedder))
+        ranges = dense.token_ranges(chunks, tokens)
+        wins = self.write("windows", dense.windows(ranges, tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens")), coverage, context))
+        pooled = models.embed_windows(dense.window_texts(docs, chunks, tokens, wins), self.embedder)
+        pooled = self.write("pooled", pooled.where("embedding is not null"))
         lost = chunks.join(pooled.select("chunk_id"), "chunk_id", "left_anti").select(F.col("chunk_id").alias("query_id"), "text")
         own = models.embed_queries(lost, self.embedder).select(F.col("query_id").alias("chunk_id"), F.col("qvec").alias("embedding"))
-        return self.write("dense", dense.with_fallback(chunks, pooled, own))
+        out = self.write("dense", dense.with_fallback(chunks, pooled, own))
+        self.write("dense_report", dense.embedding_report(chunks, wins, out))
+        return out
 
     def search(self, system: str, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, chunk_id, score) for queries (query_id, text)."""

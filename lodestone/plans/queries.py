@@ -288,6 +288,16 @@ def embed_query_stub(spark, sf_dir):
     return q.select("query_id", F.size("qvec").alias("dim"), F.round(dense.norm(F.col("qvec")), 6).alias("length"))
 
 
+def embed_windows_stub(spark, sf_dir):
+    """Chunks of whole documents embedded through packed windows, with the stand-in embedder."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    c = _spans(spark, sf_dir).select("doc_id", F.format_string("%d#%03d", "doc_id", "part").alias("chunk_id"), "char_start", "char_end")
+    tokens = models.token_spans(docs, models.HashEmbedder)
+    wins = dense.windows(dense.token_ranges(c, tokens), tokens.groupBy("doc_id").agg(F.count("*").alias("n_tokens")), 1000, 1300)
+    e = models.embed_windows(dense.window_texts(docs, c, tokens, wins), models.HashEmbedder)
+    return e.select("chunk_id", F.size("embedding").alias("dim"), F.round(dense.norm(F.col("embedding")), 6).alias("length"))
+
+
 # -- ranking metrics ------------------------------------------------------------------------------
 
 
@@ -455,7 +465,7 @@ def review_upsert(spark, sf_dir):
 
 _NAMES = """bm25_postings bm25_doc_freq bm25_doc_len bm25_stats bm25_idf bm25_scores bm25_index_search bm25_top5 bm25_top5_zero_pad bm25_dup_query_terms
 chunk_split chunk_ids chunk_stats chunk_validate heading_sections heading_pair_chunks demo_claim strip_html html_unescape normalize_text ws_token_count preview_text event_props
-frontmatter api_flatten directives directive_refs classify_members flat_names dense_top5 dense_exact_ip late_pool token_ranges pack_windows dense_windows embed_query_stub
+frontmatter api_flatten directives directive_refs classify_members flat_names dense_top5 dense_exact_ip late_pool token_ranges pack_windows dense_windows embed_query_stub embed_windows_stub
 retrieval_metrics_bm25 gold_ranks_full_depth retrieval_metrics_dense retrieval_metrics_mean token_f1 exact_match citation_parse generation_eval generation_aggregate citation_validity
 prompt_context rag_run review_validate manual_summary diagnostic diagnostic_summary review_upsert"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}

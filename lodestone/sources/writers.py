@@ -48,6 +48,13 @@ def retrieval_report(evaluated: DataFrame, path: str) -> DataFrame:
     return both
 
 
+def metrics_json(evaluated: DataFrame, path: str) -> None:
+    """Means and per-question metrics as one JSON object: a row per test question, written by the driver."""
+    questions = [json.loads(r.j) for r in evaluated.orderBy("query_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"aggregate": retrieval_metrics.macro(evaluated).first().asDict(), "questions": questions}, f, indent=2, ensure_ascii=False)
+
+
 def diagnostic_report(rows: DataFrame, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write(review.markdown(rows))

@@ -12,7 +12,7 @@ from lodestone.sources import readers, writers
 from lodestone.streaming import ingest
 
 FILES = {
-    "m-1/docs/data/material/a/a.md": '---\ntitle: Apples\ncomponents: Apple\n---\n# Apples\n\nApples are <b>red</b> &amp; round. {{"demo": "Red.js"}}\n\n## Uses\n\nPies and juice. {{"component": "x"}}',
+    "m-1/docs/data/material/a/a.md": '---\ntitle: Apples\ncomponents: Apple\n---\n# Apples\n\nApples are <b>red</b> &amp; round. {{"demo": "Red.js"}}\n\n## Uses\n\nPies and juice. {{"component": "x"}}\n\n## More\n\nCider and vinegar and cake.',
     "m-1/docs/data/material/a/Red.tsx": "export const Red = 1;\n",
     "m-1/docs/data/material/b/b-side.md": "# Pears\n\nPears are green.",
     "m-1/docs/data/material/b/Red.tsx": "other",
@@ -43,17 +43,23 @@ def test_from_archive_to_report(spark, tmp_path, capsys):
     files = {r.url: r for r in p.fetch(readers.archive_members(spark, archive(tmp_path))).collect()}
     assert len(files) == 5 and files["docs/data/material/b/Red.tsx"].flat_name == "b__Red.tsx"
     docs = {r.doc_id: r for r in p.preprocess().collect()}
-    assert docs["prose__a"].text == "# Apples\n\nApples are red & round. \n\n[[DEMO:Red.tsx]]\n\n## Uses\n\nPies and juice."
+    assert docs["prose__a"].text == "# Apples\n\nApples are red & round. \n\n[[DEMO:Red.tsx]]\n\n## Uses\n\nPies and juice. \n\n## More\n\nCider and vinegar and cake."
     assert docs["prose__a"].metadata.component == "Apple" and docs["prose__b-side"].metadata.title == "B Side"
     assert docs["api__apple"].text == "Apple component API reference.\nProp `color`: type string. Default: 'red'. The colour."
     chunks = {r.chunk_id: r for r in p.chunk().collect()}
     assert chunks["prose__a__chunk_0001"].metadata.demo_refs == ["Red.tsx"]
     assert sorted(c.ord for c in chunks.values()) == list(range(len(chunks)))
     p.bm25()
-    assert p.dense().where("embedding is null").count() == 0
+    whole = {r.chunk_id: r.embedding for r in p.dense().collect()}
+    assert all(whole.values()) and p.read("dense_report").first().windowed == 0
+    packed = {r.chunk_id: r.embedding for r in p.dense(coverage=6, context=8).collect()}
+    assert p.read("dense_report").first().windowed > 0  # the stand-in's vectors don't depend on their context
+    assert all(abs(a - b) < 1e-9 for c in whole for a, b in zip(whole[c], packed[c]))
     m = {r.query_id: r for r in p.evaluate_retrieval("bm25", 2).collect()}
     assert m[1].first_relevant_rank == 1 and p.evaluate_retrieval("dense", 2).count() == 2
     both = writers.retrieval_report(p.read("retrieval_bm25"), str(tmp_path / "csv"))
+    writers.metrics_json(p.read("retrieval_bm25"), str(tmp_path / "m.json"))
+    assert len(json.loads((tmp_path / "m.json").read_text())["questions"]) == 2
     assert both.where("query_id = 'MEAN'").count() == 1 and writers.console(p.read("retrieval_bm25")).startswith("queries: 2")
     a = {r.answer_id: r for r in p.generate().collect()}
     assert len(a) == 9 and a["1-naive"].citations == [] and a["1-rag-bm25"].citations[0].cited_in_text
