@@ -11,12 +11,16 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, scan: bool = False) -> DataFrame:
     """Cut the lineage: written as Parquet into spark.checkpoint.dir, which every executor can read, and
-    read again. A folder of our own is used only where the session names none (tests, notebooks)."""
+    read again. A folder of our own is used only where the session names none (tests, notebooks).
+
+    What comes out of a shuffle is written by two tasks for each core at most, not as a file for each shuffle
+    partition; with ``scan``, each task of the scan that made it writes its own file.
+    """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    (df if scan else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
