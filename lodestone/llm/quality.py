@@ -46,7 +46,7 @@ def repeated_words(w: str) -> Column:
 
 
 def text_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
-    """keep, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
+    """keep (no column __t, __w or __h), n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     t = docs.select(*keep, F.coalesce(text, F.lit("")).alias("__t"))
     t = t.withColumn("__w", words(F.col("__t")))
     window = F.expr("case when size(__w) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(__w) - 3), i -> xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2))) end")
@@ -117,17 +117,48 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return verdicts, removed
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", **limits) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", least: int = 10, part: float = 0.02, left: float = 0.2) -> DataFrame:
     """The kept rows of docs without their frequent lines. n_chars, if there, follows the text; other
-    columns stay as they are."""
-    verdicts, removed = judge(docs, id_col, text_col, host_col, **limits)
+    columns stay as they are.
+
+    Where the frequent lines are few enough to be broadcast, each host's in one array, a document is judged
+    and cut within its row, and texts aren't shuffled.
+    """
+    text, host = F.col(text_col).cast("string"), F.col(host_col).cast("string")
+    frequent = cut(frequent_lines(cut(_lines(docs, F.xxhash64(F.col(id_col), host, text), text, host)), least, part))
+    if frequent.count() <= _BROADCAST_LINES:
+        out = _within_rows(docs, frequent, text_col, host, left)
+    else:
+        out = _by_join(docs, id_col, text_col, host_col, least, part, left)
+    if chars_col and chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)
+
+
+def _within_rows(docs: DataFrame, frequent: DataFrame, text_col: str, host: Column, left: float) -> DataFrame:
+    per = F.broadcast(frequent.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__over")))
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).cast("string").alias("__text"), host.alias("__of"))
+    whole = whole.join(per, F.col("__of").eqNullSafe(F.col("__host")), "left").drop("__of", "__host")
+    # a struct per line that goes or stays; hosts without frequent lines keep all of theirs unread
+    lines = F.split(F.coalesce("__text", F.lit("")), "\n", -1)
+    gone = F.transform(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("__over", line_hash(x)))
+    counts = text_counts(whole.withColumn("__gone", F.when(F.col("__over").isNotNull(), gone)), F.col("__text"), [F.col("__row"), F.col("__text"), F.col("__gone")])
+    parts = F.arrays_zip(F.split("__text", "\n", -1).alias("line"), F.col("__gone").alias("gone"))
+    words_gone = F.coalesce(F.aggregate(F.filter(parts, lambda p: p["gone"]), F.lit(0), lambda a, p: a + F.size(words(p["line"]))), F.lit(0))
+    rest = F.array_join(F.transform(F.filter(parts, lambda p: ~p["gone"]), lambda p: p["line"]), "\n")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = counts.select("__row", "__text", "__gone", failed.alias("__failed"), (F.col("n_words") - words_gone < F.lit(float(left)) * F.col("n_words")).alias("__depleted"), rest.alias("__rest"))
+    # A rejected document explodes to nothing. As a filter this would be pushed below the counts and repeat them.
+    kept = F.when(~F.col("__failed") & ~F.col("__depleted"), F.array(F.struct(F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.col("__rest")).alias("text")))).otherwise(F.expr("cast(array() as array<struct<text:string>>)"))
+    return judged.select("__row", F.explode(kept).alias("__kept")).select(*(F.col("__kept.text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns))
+
+
+def _by_join(docs: DataFrame, id_col: str, text_col: str, host_col: str, least: int, part: float, left: float) -> DataFrame:
+    verdicts, removed = judge(docs, id_col, text_col, host_col, least, part, left)
     key, gone = fresh(docs, "__key", "__gone")
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(host_col).cast("string"), text))
     kept = cut(verdicts).where("kept").select(F.col("key").alias(key)).distinct()
     out = keyed.join(kept, key, "left_semi").join(removed.select(F.col("key").alias(key), F.col("lines").alias(gone)), key, "left")
     rest = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
-    out = out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(F.array_join(rest, "\n")))
-    if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns)
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(F.array_join(rest, "\n")))
