@@ -153,11 +153,14 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     key, more, spans = fresh(docs, "__key", "__terms", "__spans")
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))))
-    out = keyed.join(terms.select(F.col("key").alias(key), F.col("terms").alias(more)), key, "left")
+    terms = cut(terms)
+    few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= _BROADCAST_TERMS
+    told = terms.select(F.col("key").alias(key), F.col("terms").alias(more))
+    out = keyed.join(F.broadcast(told) if few else told, key, "left")
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")))
     base = F.transform(base_spans(F.coalesce(text, F.lit(""))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(marks, x["kind"] + 1).alias("mark")))
-    told = F.transform(F.coalesce(F.col(more), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,remove:boolean>>)")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["remove"], F.lit("")).otherwise(F.element_at(marks, F.lit(TERM + 1))).alias("mark")))
-    out = out.withColumn(spans, F.sort_array(F.concat(base, told)))
+    telling = F.transform(F.coalesce(F.col(more), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,remove:boolean>>)")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["remove"], F.lit("")).otherwise(F.element_at(marks, F.lit(TERM + 1))).alias("mark")))
+    out = out.withColumn(spans, F.sort_array(F.concat(base, telling)))
 
     def step(a, x):
         start = F.greatest(a["at"], x["start"])
