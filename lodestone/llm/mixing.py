@@ -23,6 +23,8 @@ from lodestone.llm.common import cut, fresh, word_count
 _DIGITS = 3
 #: Ranges of virtual time; the mix serves words evenly over virtual time, so the ranges are even.
 _RANGES = 4096
+#: Keys of repeated rows that are broadcast: 8 bytes each.
+_BROADCAST_KEYS = 50_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -107,11 +109,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text, F.col(source_col)))
     stream = queue(plan(keyed, id_col=id_col, text_col=text_col, source_col=source_col, carry=[key], **how))
     words, size, number = fresh(keyed, "__words", "__size", "__row")
-    # Rows that repeat have the same key: the first copy goes to the first of them and so on.
+    # Rows that repeat have the same key: the first place goes to the first of them and so on.
     stream = stream.withColumn("nth", F.row_number().over(W.partitionBy(key, "pass").orderBy("served_before")))
-    stream = stream.select(F.col(key), F.col("nth").alias(number), F.col("words").alias(words), F.col("size").alias(size))
-    rows = keyed.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
-    out = rows.join(stream, [key, number])
+    stream = cut(stream.select(F.col(key), F.col("nth").alias(number), F.col("words").alias(words), F.col("size").alias(size)))
+    repeated = cut(keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    n = repeated.count()
+    if n == 0:
+        out = keyed.join(stream, key)  # one shuffle of the texts, without numbering them
+    else:
+        rep = F.broadcast(repeated) if n <= _BROADCAST_KEYS else repeated
+        once = keyed.join(rep, key, "left_anti").join(stream, key)
+        rows = keyed.join(rep, key, "left_semi").withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
+        out = once.unionByName(rows.join(stream, [key, number]))
     whole = F.col(words) >= F.col(size)
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col(words).cast("int")), "")
     out = out.withColumn(text_col, F.when(whole, text).otherwise(first))
