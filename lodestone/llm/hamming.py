@@ -91,8 +91,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     in several rows is answered for each of them; fewer than k other rows: all of them. A neighbour is any
     row with another id.
     """
-    here = cut(rows.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(code_col).alias("code")))
-    asked = cut(queries.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("query"), F.col(code_col).alias("code")))
+    here = cut(rows.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(code_col).alias("code")), scan=True)
+    asked = cut(queries.where(F.col(code_col).isNotNull()).select(F.col(id_col).alias("query"), F.col(code_col).alias("code")), scan=True)
     # The k + 1 smallest ids of a code are all that can be among the nearest of anyone.
     first = W.partitionBy("code").orderBy("id")
     members = cut(here.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1))

@@ -61,7 +61,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     """
     small = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *carry)
     small = small.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    small = cut(small)
+    small = cut(small, scan=True)
     small = small.withColumn("bucket", F.substring("shuffled", 1, _DIGITS))
     goal = cut(targets(small, weights, share, most))
     buckets = small.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))

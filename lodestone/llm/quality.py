@@ -103,7 +103,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     text, host = F.col(text_col).cast("string"), F.col(host_col).cast("string")
     key = F.xxhash64(F.col(id_col), host, text)
-    lines = cut(_lines(docs, key, text, host))
+    lines = cut(_lines(docs, key, text, host), scan=True)
     frequent = cut(frequent_lines(lines, least, part))
     few = frequent.count() <= _BROADCAST_LINES
     f = frequent.select(F.col("host").alias("__host"), F.col("hash").alias("__hash"))
@@ -125,7 +125,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     and cut within its row, and texts aren't shuffled.
     """
     text, host = F.col(text_col).cast("string"), F.col(host_col).cast("string")
-    frequent = cut(frequent_lines(cut(_lines(docs, F.xxhash64(F.col(id_col), host, text), text, host)), least, part))
+    frequent = cut(frequent_lines(cut(_lines(docs, F.xxhash64(F.col(id_col), host, text), text, host), scan=True), least, part))
     if frequent.count() <= _BROADCAST_LINES:
         out = _within_rows(docs, frequent, text_col, host, left)
     else:
@@ -158,7 +158,7 @@ def _by_join(docs: DataFrame, id_col: str, text_col: str, host_col: str, least:
     key, gone = fresh(docs, "__key", "__gone")
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(host_col).cast("string"), text))
-    kept = cut(verdicts).where("kept").select(F.col("key").alias(key)).distinct()
+    kept = cut(verdicts, scan=True).where("kept").select(F.col("key").alias(key)).distinct()
     out = keyed.join(kept, key, "left_semi").join(removed.select(F.col("key").alias(key), F.col("lines").alias(gone)), key, "left")
     rest = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
     return out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(F.array_join(rest, "\n")))

@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids stay and are ignored by the minimum (null if a component has no other). An empty table gives
     an empty result. Other columns of docs are not read.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, n))
+    fps = cut(fingerprints(docs, id_col, text_col, n), scan=True)
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))  # copies meet here, after a partial minimum
     roots = components(links(classes.select("fp"), radius, longest_list))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
