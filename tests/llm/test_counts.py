@@ -165,3 +165,17 @@ def test_targets_and_taken(spark, seed):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     assert sum(len(brute.words(x.text)) for x in out.collect()) == sum(g.taken for g in got)
+
+
+def test_ways_beyond_the_broadcasts(spark, sf, monkeypatch):
+    """What is too large to broadcast takes another way to the same result."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).withColumn("source", F.lit("one"))
+    stages = (lambda d: quality.cleaned(d, least=3, part=0.001), lambda d: pii.sanitised(d, bits=1.0, posterior=0.1, support=2), mixing.mixed)
+    rows = lambda df: sorted(map(str, df.collect()))
+    near = [rows(f(docs)) for f in stages]
+    assert near[0] != rows(docs) and near[1] != rows(docs)
+    monkeypatch.setattr(quality, "_BROADCAST_LINES", -1)
+    monkeypatch.setattr(pii, "_BROADCAST_TERMS", -1)
+    monkeypatch.setattr(mixing, "_BROADCAST_KEYS", -1)
+    assert [rows(f(docs)) for f in stages] == near
