@@ -84,8 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             w = np.packbits(m > 0, axis=1, bitorder="little").view(np.int64).reshape(-1, size)
             columns, names = [b.column(0), pa.array(np.ascontiguousarray(w[:, 0]))], ["id", "fp"]
             if wide:
-                weak = np.argsort(np.abs(m)[:, _WIDE_BITS], axis=2, kind="stable")[:, :, :2].reshape(len(m), 2 * len(_WIDE_SETS))
-                columns += [pa.array(list(w), pa.list_(pa.int64())), pa.array(list(weak.astype(np.int32)), pa.list_(pa.int32()))]
+                columns += [pa.array(list(w), pa.list_(pa.int64())), pa.array([_weakest(x) for x in m], pa.list_(pa.int32()))]
                 names += ["wide", "weak"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -94,6 +93,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long" + ", wide array<long>, weak array<int>" * wide)
 
 
+def _weakest(margins: np.ndarray) -> np.ndarray:
+    """Of each wide set's bits the two with the smallest margins, earlier ones first in a tie."""
+    return np.argsort(np.abs(margins)[_WIDE_BITS], axis=1, kind="stable")[:, :2].ravel().astype(np.int32)
+
+
 def _mask(positions: tuple[int, ...]) -> int:
     m = sum(0xFF << (8 * p) for p in positions)
     return m - (1 << 64) if m >> 63 else m
