@@ -40,9 +40,9 @@ def lengths(corpus: DataFrame) -> DataFrame:
 
 
 def term_frequencies(corpus: DataFrame) -> DataFrame:
-    """(doc_id, ord, term, tf). Words are counted within the row, so nothing is shuffled."""
-    sorted_words = F.array_sort(T.words("text"))
-    w = corpus.select("doc_id", "ord", F.explode(sorted_words).alias("term"))
+    """(doc_id, ord, term, tf)"""
+    # the outer form: Spark would repeat the pattern match in a filter for empty arrays
+    w = corpus.select("doc_id", "ord", F.explode_outer(T.words("text")).alias("term")).where("term is not null")
     return w.groupBy("doc_id", "ord", "term").agg(F.count("*").cast("bigint").alias("tf"))
 
 
@@ -77,7 +77,7 @@ class Index:
     def build(corpus: DataFrame, k1: float = K1, b: float = B) -> Index:
         lens = lengths(corpus)
         one = stats(lens)
-        w_ = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").cast("bigint").alias("doc_len"), F.explode("w").alias("term"))
+        w_ = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").cast("bigint").alias("doc_len"), F.explode_outer("w").alias("term")).where("term is not null")
         tf = cut(w_.groupBy("doc_id", "ord", "doc_len", "term").agg(F.count("*").cast("bigint").alias("tf")))
         terms = cut(document_frequencies(tf).crossJoin(F.broadcast(one)).select("term", "df", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf")))
         joined = tf.join(terms.select("term", "idf", "avg_len"), "term")
@@ -143,7 +143,7 @@ def corpus_postings(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: fl
     wanted = cut(query_terms(queries).select("term").distinct())
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    w = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").alias("doc_len"), F.explode("w").alias("term"))
+    w = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").alias("doc_len"), F.explode_outer("w").alias("term")).where("term is not null")
     tf = cut(w.join(wanted, "term", "left_semi").groupBy("doc_id", "ord", "doc_len", "term").agg(F.count("*").cast("bigint").alias("tf")))
     one = F.broadcast(stats(lengths(corpus)))
     terms = document_frequencies(tf).crossJoin(one).select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))

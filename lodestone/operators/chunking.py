@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 
 MAX_TOKENS, OVERLAP = 500, 100
-_SPAN = "struct<start:int,end:int>"
 
 
 def sections(text: Column) -> Column:
@@ -35,17 +34,12 @@ def sections(text: Column) -> Column:
     return F.when(n == 0, alone("Document", size)).otherwise(F.concat(preface, F.transform(starts, one)))
 
 
-def token_spans(text: Column) -> Column:
-    """array<struct<start, end>> of the text's tokens."""
-    pieces = T.all_matches(text, r"(?U)\s*\S+", 0)
-    zero = F.struct(F.lit(0).alias("at"), T.empty_array(_SPAN).alias("out"))
-
-    def step(a, p):
-        end = a["at"] + F.length(p)
-        start = end - F.length(F.regexp_replace(p, r"^(?U)\s+", ""))
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"))).alias("out"))
-
-    return F.aggregate(pieces, zero, step, lambda a: a["out"])
+def token_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, tok, start, end) of the texts' tokens: running sums of the lengths of token and space before it."""
+    pieces = docs.select(key, F.posexplode_outer(T.all_matches(F.col("text"), r"(?U)\s*\S+", 0)).alias("tok", "p")).where("p is not null")
+    end = F.sum(F.length("p")).over(W.partitionBy(key).orderBy("tok"))
+    token = F.length(F.regexp_replace("p", r"^(?U)\s+", ""))
+    return pieces.select(key, "tok", end.cast("int").alias("end"), token.alias("n")).select(key, "tok", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def split_spans(doc_spans: DataFrame, max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
@@ -93,7 +87,7 @@ def section_pairs(docs: DataFrame) -> DataFrame:
 
     pairs = F.slice(F.transform("__s", pair), 1, F.greatest(F.lit(1), n - 1))
     full = F.filter(pairs, lambda p: ~heading_only(F.substring(F.col("text"), p["char_start"] + 1, p["char_end"] - p["char_start"])))
-    out = s.select(*docs.columns, F.posexplode(full).alias("__i", "__p"))
+    out = s.select(*docs.columns, F.posexplode_outer(full).alias("__i", "__p")).where("__p is not null")
     return out.select(*docs.columns, (F.col("__i") + 1).alias("chunk_index"), "__p.headings", "__p.char_start", "__p.char_end")
 
 

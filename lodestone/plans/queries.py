@@ -259,8 +259,7 @@ def late_pool(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.token_spans(F.col("text"))).alias("tok", "s"))
-    return d.select("doc_id", "tok", "s.start", "s.end")
+    return chunking.token_spans(table(spark, sf_dir, "documents"))
 
 
 def _ranges(spark, sf_dir):
