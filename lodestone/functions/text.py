@@ -214,12 +214,15 @@ def answer_tokens(x: Column) -> Column:
 
 def token_f1(predicted: Column, reference: Column) -> Column:
     """Multiset F1 of two token arrays; 1 if both are empty, 0 if one is."""
-    p, r = F.sort_array(predicted), F.sort_array(reference)
 
-    def count(xs, t):
-        return F.size(F.filter(xs, lambda y: y == t))
+    def numbered(tokens_):
+        """Each occurrence told apart by its place among its equals in the sorted tokens. The outer array of
+        one makes the tokens a variable; as an expression they would be made anew for each of them."""
+        inner = lambda xs: F.transform(xs, lambda x, i: F.concat(x, F.lit("\u0001"), (i - F.array_position(xs, x)).cast("string")))
+        return F.get(F.transform(F.array(F.sort_array(tokens_)), inner), F.lit(0))
 
-    shared = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda a, t: a + F.least(count(p, t), count(r, t)))
+    p, r = predicted, reference
+    shared = F.size(F.array_intersect(numbered(p), numbered(r)))
     total = F.size(p) + F.size(r)
     return F.when(total == 0, 1.0).otherwise(F.lit(2.0) * shared / total)
 
