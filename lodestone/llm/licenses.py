@@ -3,7 +3,8 @@
 A block of text that follows a template compresses far better when the template is the compressor's raw
 dictionary. Candidate blocks (lines with license wording, and the notices they run on into) are compressed
 with zstandard once plainly and once with each template; the templates are ranked by how much they save, and
-the winners are confirmed, or not, by their exact wording differences from the block.
+confirmed, or not, by their exact wording differences from the block. All of them are: in a long block a short
+notice saves too little to be told by it.
 """
 
 from __future__ import annotations
@@ -145,18 +146,15 @@ def confirm(block: str, template: int, tolerance: float = 0.1) -> list[tuple[int
 _NAMES = {"mit", "apache", "gnu", "bsd", "cc", "by", "by-nc", "by-sa", "attribution", "attribution-sharealike", "attribution-noncommercial"}
 
 
-def scan(text: str, least: float = 0.15, tolerance: float = 0.1) -> tuple[int, list[Found]]:
-    """(candidate blocks, confirmed licenses by place). A template is a winner if it saves at least ``least``
-    of the block's compressed size or is among the three that save most; winners are confirmed word by word."""
+def scan(text: str, tolerance: float = 0.1) -> tuple[int, list[Found]]:
+    """(candidate blocks, confirmed licenses by place). Every template is held against the block word by word,
+    those that save most first."""
     found, parts = {}, blocks(text)
     for start, block in parts:
         # A line of its own is judged by itself as well, so that a long block can't hide a short notice.
         pieces = [(start, block)] + [(start + m.start(), m[0]) for m in re.finditer(r"[^\n]+", block) if "\n" in block and _HINT.search(m[0])]
         for at, piece in pieces:
-            order = ranked(piece)
-            for k, (saved, i) in enumerate(order):
-                if k >= 3 and saved < least:
-                    break
+            for saved, i in ranked(piece):
                 for a, b, d in confirm(piece, i, tolerance):
                     f = Found(_templates()[0][i][0], at + a, at + b, round(saved, 6), d)
                     old = found.get((f.start, f.license))
@@ -170,7 +168,7 @@ def scan(text: str, least: float = 0.15, tolerance: float = 0.1) -> tuple[int, l
     return len(parts), sorted(kept, key=lambda f: f.start)
 
 
-def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.15, tolerance: float = 0.1) -> DataFrame:
+def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.1) -> DataFrame:
     """(id_col, n_blocks, licenses, finds) per row of docs: the distinct licenses in code-point order,
     comma-joined ('' if none), and array<struct<license, start, end, saved, differences>> by place.
 
@@ -183,7 +181,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             n, names, finds = [], [], []
             for t in b.column(1).to_pylist():
-                k, found = scan(t, least, tolerance) if t else (0, [])
+                k, found = scan(t, tolerance) if t else (0, [])
                 n.append(k)
                 names.append(",".join(sorted({f.license for f in found})))
                 finds.append([f.__dict__ for f in found])

@@ -75,6 +75,21 @@ def test_wording_differences():
     assert licenses.scan("") == (0, [])
 
 
+def test_notices_within_one_long_line():
+    r = random.Random(3)
+    common = "the of and to a in that is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+    short = [(n, t) for n, texts in licenses.TEMPLATES.items() for t in texts if len(t) < 100]
+    for k in range(20):  # one notice in a line of prose
+        for name, t in short:
+            words = [r.choice(common) for _ in range(760)]
+            words.insert(r.randrange(760), t)
+            assert name in {f.license for f in licenses.scan(" ".join(words))[1]}, (k, name)
+    words = [r.choice(common) for _ in range(600)]
+    for _, t in short:  # many in one
+        words.insert(r.randrange(len(words)), t)
+    assert {n for n, _ in short} == {f.license for f in licenses.scan(" ".join(words))[1]}
+
+
 def test_licenses_of_documents(spark, sf):
     import re
 
