@@ -12,7 +12,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"(?U)\S+"
@@ -99,6 +99,12 @@ def unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_each(x: pd.Series) -> pd.Series:
+    """All of HTML's entities in each text of an array; within a lambda no Python can run."""
+    return x.map(lambda a: None if a is None else [None if s is None else html.unescape(s) for s in a])
+
+
 def tidy_lines(x: Column) -> Column:
     return strip(collapse_newlines(F.regexp_replace(x, r"(?dm)[ \t\f\x0b\r]+$", "")))
 
@@ -110,9 +116,13 @@ def strip_html(x: Column, complete: bool = True) -> Column:
     return tidy_lines(unescape(bare) if complete else unescape_common(bare))
 
 
-def clean_prop_type(x: Column, complete: bool = False) -> Column:
+def clean_prop_type(x: Column, complete: bool = True) -> Column:
     """Entities decoded, <br> and white space to single spaces, stripped."""
-    x = unescape(x) if complete else unescape_common(x)
+    return one_line(unescape(x) if complete else unescape_common(x))
+
+
+def one_line(x: Column) -> Column:
+    """<br> and white space to single spaces, stripped."""
     return strip(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", " "), r"(?U)\s+", " "))
 
 
@@ -237,14 +247,20 @@ def exact_match(predicted: Column, reference: Column) -> Column:
 def flatten_api(parsed: Column) -> Column:
     """A sentence for the component and one for each of its props, a line each."""
     none = F.lit("")
+    entries = F.map_entries(parsed["props"])
+
+    def kind(e):
+        return F.coalesce(F.nullif(e["value"]["type"]["description"], none), F.nullif(e["value"]["type"]["name"], none), F.lit("unspecified"))
 
-    def sentence(e):
-        kind = F.coalesce(F.nullif(e["value"]["type"]["description"], none), F.nullif(e["value"]["type"]["name"], none), F.lit("unspecified"))
-        text = F.concat(F.lit("Prop `"), e["key"], F.lit("`: type "), clean_prop_type(kind), F.lit("."))
+    def sentence(p):
+        e, more = p["e"], one_line(p["more"])
+        text = F.concat(F.lit("Prop `"), e["key"], F.lit("`: type "), one_line(p["kind"]), F.lit("."))
         default = F.when(e["value"]["default"].isNotNull(), F.concat(F.lit(" Default: "), e["value"]["default"], F.lit("."))).otherwise("")
-        more = clean_prop_type(F.coalesce(e["value"]["description"], none))
         return F.concat(text, default, F.when(more != "", F.concat(F.lit(" "), more)).otherwise(""))
 
     head = F.concat(F.coalesce(parsed["name"], F.lit("Unknown component")), F.lit(" component API reference."))
-    props = F.coalesce(F.transform(F.map_entries(parsed["props"]), sentence), empty_array())
+    kinds = unescape_each(F.transform(entries, kind))
+    more = unescape_each(F.transform(entries, lambda e: F.coalesce(e["value"]["description"], none)))
+    parts = F.arrays_zip(entries.alias("e"), kinds.alias("kind"), more.alias("more"))
+    props = F.coalesce(F.transform(parts, sentence), empty_array())
     return F.concat_ws("\n", F.array(head), props)

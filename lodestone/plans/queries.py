@@ -151,7 +151,7 @@ def demo_claim(spark, sf_dir):
 
 
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html"), complete=False).alias("plain"))
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
 
 def html_unescape(spark, sf_dir):

@@ -5,6 +5,7 @@ import tarfile
 import pytest
 
 from lodestone import schemas
+from lodestone.functions import text as T
 from lodestone.operators import preprocess
 from lodestone.plans import cli
 from lodestone.plans.pipeline import STAGES, Pipeline, missing_outputs
@@ -108,3 +109,22 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"doc_id": f"d{i}", "text": "# A\n\nwords here", "metadata": {"doc_type": "prose"}}))
     ingest.append_chunks(ingest.arriving_docs(spark, str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == 3
+
+
+def test_every_entity_is_decoded(spark):
+    from pyspark.sql import functions as F
+
+    union = "'inherit'<br>&#124;&nbsp;'primary'<br>&#124;&nbsp;'secondary'"
+    props = {"color": {"type": {"name": "union", "description": union}, "description": "One&mdash;or &#x27;more&#x27;&hellip;"}, "plain": {"type": {"name": "bool"}}}
+    raw = [(1, json.dumps({"name": "Apple", "props": props})), (2, json.dumps({"name": "Pear"}))]
+    d = spark.createDataFrame(raw, "id int, raw string").select("id", T.flatten_api(F.from_json("raw", schemas.API_PROPS)).alias("flat"))
+    got = {r.id: r.flat for r in d.collect()}
+    assert got[1] == "Apple component API reference.\nProp `color`: type 'inherit' | 'primary' | 'secondary'. One—or 'more'…\nProp `plain`: type bool."
+    assert got[2] == "Pear component API reference."
+
+
+def test_strip_html_query_decodes_every_entity(spark, tmp_path):
+    from lodestone.plans import queries
+
+    spark.createDataFrame([(1, "<p>a &mdash; b&#124;c &amp;lt; &hellip;</p>")], "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.plain for r in queries.strip_html(spark, str(tmp_path)).collect()] == ["a — b|c &lt; …"]
