@@ -30,6 +30,7 @@ from lodestone.shipping import ship
 
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BLOCK = 1 << 16  # shingles turned into bits at a time
+_BROADCAST_TEXTS = 50_000  # ids of texts to verify that are broadcast
 #: Position groups by radius. With g groups, g - r stay whole.
 _GROUPS = {
     0: [(0, 1, 2, 3, 4, 5, 6, 7)],
@@ -61,6 +62,16 @@ def _margins(text: str | None, n: int, seed: int, size: int) -> np.ndarray:
     return 2 * ones - total
 
 
+def _shingle_set(text: str | None, n: int, seed: int = 42) -> np.ndarray:
+    """The distinct XXH64 of the n-word shingles, in order; none for a text without words."""
+    words = (text or "").encode().translate(_TO_LOWER).split()
+    if len(words) <= n:
+        shingles = [b" ".join(words)] if words else []
+    else:
+        shingles = map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)).view(np.int64)
+
+
 def _packed(margins: np.ndarray) -> np.ndarray:
     return np.packbits(margins > 0, bitorder="little").view(np.uint64)
 
@@ -171,7 +182,7 @@ _WIDE_BITS = np.array([[8 * p + b for p in s for b in range(8)] for s in _WIDE_S
 
 
 def wide_links(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between fingerprints ``fp`` whose wide fingerprints are within 40 of 256 bits: nearly all
+    """Candidates (a, b): fingerprints ``fp`` whose wide fingerprints are within 40 of 256 bits: nearly all
     pairs of shingle similarity 0.86 and more, about half of those of 0.8, hardly any below 0.7.
 
     64 bits can't tell that apart: at similarity 0.8 they differ in about ten, and no positional byte need
@@ -195,6 +206,33 @@ def wide_links(classes: DataFrame) -> DataFrame:
     return both.where((shared >= _WIDE_SHARED - 2) & (sum(map(F.bit_count, differ), F.lit(0)) <= _WIDE_RADIUS)).select("a", "b")
 
 
+def verified(edges: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The edges (a, b) between fingerprints whose texts have a Jaccard similarity of n-word shingles of at least
+    ``similarity``. texts: (fp, text), one row for each fingerprint that has an edge. Shingles are told apart
+    by 64-bit hashes."""
+
+    def run(batches):
+        for b in batches:
+            sets = pa.array([_shingle_set(t.as_py(), n) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["fp", "shingles"])
+
+    ship(texts.sparkSession)
+    sets = cut(texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>"))
+    x, y = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    both = edges.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
+    return both.where(F.col("shared") + 1e-9 >= F.lit(float(similarity)) * (F.col("sizes") - F.col("shared"))).select("a", "b")
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, text) of the fingerprints with an edge: the text of the class's smallest id."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    chosen = cut(classes.join(nodes, "fp", "left_semi").select("fp", "least"))
+    few = chosen.count() <= _BROADCAST_TEXTS
+    t = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return t.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("least"))).select("fp", "text").dropDuplicates(["fp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, from edges (a, b).
 
@@ -223,11 +261,13 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, longest_list: int = 64, wide: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, longest_list: int = 64, wide: bool = False, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: (id, fp, component_id).
 
-    Fingerprints within ``radius`` bits are linked, and if ``wide`` also those of ``wide_links``; component_id
-    is the smallest id that is reachable. Empty and null texts have fingerprint 0 and are linked like any
+    Fingerprints within ``radius`` bits are linked. If ``wide``, those of ``wide_links`` are candidates as well,
+    and of all candidates those are linked whose texts are verified to have the shingle ``similarity``; ids
+    then tell texts apart, and only equal fingerprints are taken for copies unread. component_id is the
+    smallest id that is reachable. Empty and null texts have fingerprint 0 and are linked like any
     other. Rows repeat as they do in docs; null ids stay and are ignored by the minimum (null if a component
     has no other). An empty table gives an empty result. Other columns of docs are not read.
     """
@@ -235,8 +275,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"))  # copies meet here, after a partial minimum
     edges = links(classes.select("fp"), radius, longest_list)
     if wide:
+        classes = cut(classes)
         one = cut(fps.groupBy("fp").agg(F.min(F.struct("wide", "weak")).alias("w")).select("fp", "w.wide", "w.weak"))
-        edges = edges.unionByName(wide_links(one))
+        edges = cut(edges.unionByName(wide_links(one)).distinct())
+        edges = verified(edges, _texts_of(docs, classes, edges, id_col, text_col), n, similarity)
     roots = components(edges)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

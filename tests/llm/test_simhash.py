@@ -99,3 +99,15 @@ def test_wide_links_catch_similar_texts(spark):
     found = {x.id: x.component_id for x in simhash.near_duplicates(docs, n=5, radius=3, wide=True).collect()}
     caught = sum(found[a] == found[b] for a, b in twins)
     assert caught >= 54 and len(set(found.values())) == 120 - caught  # and nothing else is linked
+
+
+def test_shared_boilerplate_is_no_near_duplicate(spark):
+    """Any two share a passage, with similarity about 0.7: wide fingerprints are within 40 bits for many of them."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(330)]
+    rows = [(i, " ".join(passage + [word() for _ in range(66)])) for i in range(400)]
+    twin = rows[0][1].replace(rows[0][1].split()[100], "edited")
+    docs = spark.createDataFrame(rows + [(1000, twin)], "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.keep_one(docs).collect()}
+    assert kept == set(range(400))
