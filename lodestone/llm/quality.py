@@ -2,11 +2,13 @@
 
 Every line is normalised and hashed; per host the distinct documents that hold it are counted. Lines above
 the host's limit (menus, notices, footers) are removed, and documents of which too little is left are
-rejected. All of it is DataFrame expressions; texts are shuffled only where the caller wants them back.
+rejected. All of it is DataFrame expressions.
 
 Copies must not count as many documents, or a page that was fetched a thousand times would make boilerplate
-of itself. A document is therefore known by the smallest of its line hashes: copies share it, and so do most
-near copies, while documents that merely share a line mostly don't.
+of itself. A document is therefore known by the 128-bit digest of its whole normalised text: what differs in
+any word is another document, copies are one. The digest is made within the row; a line's documents are
+counted in two steps, distinct (host, line, document) first, so a line that a third of all documents hold is
+spread over all tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import GAP, LOWER, UPPER, cut, fresh
+from lodestone.llm.common import GAP, LOWER, UPPER, cut
 
 _BROADCAST_LINES = 100_000
 _SYMBOLS = "#*$%&|<>"
@@ -73,92 +75,118 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(normalised(line)), 1, 15), 16, 10).cast("long")
 
 
-def _lines(docs: DataFrame, key: Column, text: Column, host: Column) -> DataFrame:
-    """(key, host, at, n, hash, doc): the lines with a word, doc the smallest hash in the document."""
-    t = docs.select(key.alias("key"), host.alias("host"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("at", "line"))
-    t = t.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("key", "host", "at", F.size(words(F.col("line"))).alias("n"), line_hash(F.col("line")).alias("hash"))
-    return t
+def document_digest(text: Column) -> Column:
+    """128 bits of the whole normalised text, white space of all kinds (line ends too) squeezed."""
+    return F.unhex(F.md5(normalised(text)))
+
+
+def _lines(docs: DataFrame, text: Column, host: Column) -> DataFrame:
+    """(host, doc, hash): the distinct lines with a word of each row."""
+    text = F.coalesce(text, F.lit(""))
+    held = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    own = F.array_distinct(F.transform(held, line_hash))
+    return docs.select(host.alias("host"), document_digest(text).alias("doc"), F.explode(own).alias("hash"))
 
 
 def frequent_lines(lines: DataFrame, least: int = 10, part: float = 0.02) -> DataFrame:
     """(host, hash, documents) of the lines above their host's limit: ``least`` distinct documents or
-    ``part`` of the host's, whichever is more."""
-    doc = lines.groupBy("key", "host").agg(F.min("hash").alias("doc"))
-    held = lines.select("key", "host", "hash").distinct().join(doc.select("key", F.col("host").alias("__host"), "doc"), "key").where(F.col("host").eqNullSafe(F.col("__host")))
-    per = held.select("host", "hash", "doc").distinct().groupBy("host", "hash").agg(F.count("*").alias("documents"))
-    size = doc.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    ``part`` of the host's, whichever is more. Only documents with a line count, all copies as one."""
+    per = lines.distinct().groupBy("host", "hash").agg(F.count("*").alias("documents")).where(F.col("documents") > least)
+    size = lines.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("all"))
     size = size.select(F.col("host").alias("__host"), "all")
     over = per.join(size, F.col("host").eqNullSafe(F.col("__host")))
     return over.where(F.col("documents") > F.greatest(F.lit(float(least)), F.col("all") * F.lit(float(part)))).select("host", "hash", "documents")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 10, part: float = 0.02, left: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, removed): per row of docs its id, the counts of ``text_counts``, frequent_words,
-    base_failed and kept, with the row's ``key``; and per key the line numbers above the limit.
+#: Frequent hashes that a bucket of a host's list holds on average: what each line is compared with.
+_BUCKET = 8
+
+
+def _by_host(frequent: DataFrame) -> DataFrame:
+    """(host, over): per host its frequent lines' hashes, dealt into an array of short lists by their value, so
+    that a line is looked up in one of these."""
+    lists = frequent.groupBy("host").agg(F.ceil(F.count("*") / F.lit(_BUCKET)).cast("int").alias("size"))
+    named = lists.select(F.col("host").alias("__h"), "size")
+    at = F.pmod("hash", F.col("size")).cast("int").alias("at")
+    dealt = frequent.join(named, F.col("host").eqNullSafe(F.col("__h"))).select("host", at, F.array("hash").alias("one"))
+    empty = lists.select("host", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("at"), F.expr("cast(array() as array<bigint>)").alias("one"))
+    buckets = dealt.unionByName(empty).groupBy("host", "at").agg(F.flatten(F.collect_list("one")).alias("hashes"))
+    return buckets.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "hashes"))), lambda b: b["hashes"]).alias("over"))
+
+
+def _judged(docs: DataFrame, text: Column, host: Column, keep: list[Column], least: int, part: float, left: float) -> DataFrame:
+    """keep, the columns of ``text_counts``, __gone, frequent_words, base_failed and kept. __gone has a boolean
+    per line, true for those that go, and is null where none of the host's are frequent. keep must not hold
+    names with two leading underscores but __row."""
+    frequent = cut(frequent_lines(cut(_lines(docs, text, host), scan=True), least, part))
+    whole = docs.select(*keep, text.alias("__text"), host.alias("__of"))
+    if frequent.count() <= _BROADCAST_LINES:
+        flagged = _flag_within_rows(whole, F.broadcast(_by_host(frequent)))
+    else:
+        flagged = _flag_by_join(whole, frequent)
+    names = [c for c in flagged.columns if c not in ("__text", "__gone")]
+    counts = text_counts(flagged, F.col("__text"), [*map(F.col, names), F.col("__text"), F.col("__gone")])
+    # words are counted only in lines that go
+    parts = F.arrays_zip(F.split(F.coalesce("__text", F.lit("")), "\n", -1).alias("line"), F.col("__gone").alias("gone"))
+    gone = F.aggregate(F.filter(parts, lambda p: p["gone"]), F.lit(0), lambda a, p: a + F.size(words(p["line"])))
+    out = counts.withColumn("frequent_words", F.coalesce(F.when(F.col("__gone").isNotNull(), gone), F.lit(0)).cast("long"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    depleted = (F.col("n_words") - F.col("frequent_words")) < F.lit(float(left)) * F.col("n_words")
+    return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
+
+
+def _flag_within_rows(whole: DataFrame, per_host: DataFrame) -> DataFrame:
+    per = per_host.select(F.col("host").alias("__host"), F.col("over").alias("__over"))
+    whole = whole.join(per, F.col("__of").eqNullSafe(F.col("__host")), "left").drop("__of", "__host")
+    # hosts without frequent lines keep all of theirs unread
+    hashes = F.transform(F.split(F.coalesce("__text", F.lit("")), "\n", -1), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), line_hash(x)))
+    gone = F.transform(hashes, lambda h: F.coalesce(F.array_contains(F.get(F.col("__over"), F.pmod(h, F.size("__over")).cast("int")), h), F.lit(False)))
+    return whole.withColumn("__gone", F.when(F.col("__over").isNotNull(), gone)).drop("__over")
+
+
+def _flag_by_join(whole: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The same beyond the broadcast: lines are joined with the frequent ones, and each distinct (host, text)
+    of the rows meets the numbers of its lines that go."""
+    key = F.unhex(F.md5(F.concat(F.when(F.col("__of").isNull(), "0").otherwise(F.concat(F.lit("1"), F.md5("__of"))), F.coalesce("__text", F.lit("")))))
+    keyed = whole.withColumn("__key", key)
+    held = keyed.select("__key", F.col("__of").alias("__host"), F.posexplode(F.split(F.coalesce("__text", F.lit("")), "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    held = held.select("__key", "__host", "at", line_hash(F.col("line")).alias("__hash"))
+    over = held.join(frequent.select("host", "hash"), (F.col("__hash") == F.col("hash")) & F.col("__host").eqNullSafe(F.col("host")), "left_semi")
+    removed = cut(over.groupBy("__key").agg(F.collect_set("at").alias("__at")))
+    out = keyed.join(removed, "__key", "left")
+    gone = F.transform(F.split(F.coalesce("__text", F.lit("")), "\n", -1), lambda _, i: F.array_contains("__at", i))
+    return out.withColumn("__gone", F.when(F.col("__at").isNotNull(), gone)).drop("__key", "__of", "__at")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least: int = 10, part: float = 0.02, left: float = 0.2) -> DataFrame:
+    """Per row of docs its id, the counts of ``text_counts``, frequent_words, base_failed and kept.
 
     base_failed: under 50 words, or over half of them in repeated windows. Rejected are these and documents
     of which less than the part ``left`` of the words remains when frequent lines go. Null text counts as
-    empty (and fails). Null hosts are one host, rows that repeat one document with a row each in the result;
-    an empty table gives an empty one.
+    empty (and fails). Null hosts are one host, rows that repeat one document with a row each in the result,
+    null ids are ids; an empty table gives an empty one. Very long texts are whole rows and arrays of their
+    lines and words: a task's memory must hold a few times its longest text. Other columns are not read.
     """
     text, host = F.col(text_col).cast("string"), F.col(host_col).cast("string")
-    key = F.xxhash64(F.col(id_col), host, text)
-    lines = cut(_lines(docs, key, text, host), scan=True)
-    frequent = cut(frequent_lines(lines, least, part))
-    few = frequent.count() <= _BROADCAST_LINES
-    f = frequent.select(F.col("host").alias("__host"), F.col("hash").alias("__hash"))
-    over = lines.join(F.broadcast(f) if few else f, (F.col("hash") == F.col("__hash")) & F.col("host").eqNullSafe(F.col("__host")), "left_semi")
-    removed = cut(over.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("over")).select("key", F.transform("over", lambda x: x["at"]).alias("lines"), F.aggregate("over", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("frequent_words")))
-    counts = text_counts(docs, text, [F.col(id_col).alias("__id"), key.alias("__key")])
-    out = counts.join(removed.select(F.col("key").alias("__key"), "frequent_words"), "__key", "left").withColumn("frequent_words", F.coalesce("frequent_words", F.lit(0).cast("long")))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    depleted = (F.col("n_words") - F.col("frequent_words")) < F.lit(float(left)) * F.col("n_words")
-    verdicts = out.select(F.col("__id").alias(id_col), F.col("__key").alias("key"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "frequent_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
-    return verdicts, removed
+    out = _judged(docs, text, host, [F.col(id_col).alias("id")], least, part, left)
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "frequent_words", "base_failed", "kept")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", least: int = 10, part: float = 0.02, left: float = 0.2) -> DataFrame:
     """The kept rows of docs without their frequent lines. n_chars, if there, follows the text; other
-    columns stay as they are.
+    columns stay as they are, whatever their names.
 
     Where the frequent lines are few enough to be broadcast, each host's in one array, a document is judged
     and cut within its row, and texts aren't shuffled.
     """
     text, host = F.col(text_col).cast("string"), F.col(host_col).cast("string")
-    frequent = cut(frequent_lines(cut(_lines(docs, F.xxhash64(F.col(id_col), host, text), text, host), scan=True), least, part))
-    if frequent.count() <= _BROADCAST_LINES:
-        out = _within_rows(docs, frequent, text_col, host, left)
-    else:
-        out = _by_join(docs, id_col, text_col, host_col, least, part, left)
-    if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns)
-
-
-def _within_rows(docs: DataFrame, frequent: DataFrame, text_col: str, host: Column, left: float) -> DataFrame:
-    per = F.broadcast(frequent.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__over")))
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).cast("string").alias("__text"), host.alias("__of"))
-    whole = whole.join(per, F.col("__of").eqNullSafe(F.col("__host")), "left").drop("__of", "__host")
-    # a struct per line that goes or stays; hosts without frequent lines keep all of theirs unread
-    lines = F.split(F.coalesce("__text", F.lit("")), "\n", -1)
-    gone = F.transform(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("__over", line_hash(x)))
-    counts = text_counts(whole.withColumn("__gone", F.when(F.col("__over").isNotNull(), gone)), F.col("__text"), [F.col("__row"), F.col("__text"), F.col("__gone")])
+    judged = _judged(docs, text, host, [F.struct(*docs.columns).alias("__row")], least, part, left)
     parts = F.arrays_zip(F.split("__text", "\n", -1).alias("line"), F.col("__gone").alias("gone"))
-    words_gone = F.coalesce(F.aggregate(F.filter(parts, lambda p: p["gone"]), F.lit(0), lambda a, p: a + F.size(words(p["line"]))), F.lit(0))
     rest = F.array_join(F.transform(F.filter(parts, lambda p: ~p["gone"]), lambda p: p["line"]), "\n")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = counts.select("__row", "__text", "__gone", failed.alias("__failed"), (F.col("n_words") - words_gone < F.lit(float(left)) * F.col("n_words")).alias("__depleted"), rest.alias("__rest"))
     # A rejected document explodes to nothing. As a filter this would be pushed below the counts and repeat them.
-    kept = F.when(~F.col("__failed") & ~F.col("__depleted"), F.array(F.struct(F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.col("__rest")).alias("text")))).otherwise(F.expr("cast(array() as array<struct<text:string>>)"))
-    return judged.select("__row", F.explode(kept).alias("__kept")).select(*(F.col("__kept.text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in docs.columns))
-
-
-def _by_join(docs: DataFrame, id_col: str, text_col: str, host_col: str, least: int, part: float, left: float) -> DataFrame:
-    verdicts, removed = judge(docs, id_col, text_col, host_col, least, part, left)
-    key, gone = fresh(docs, "__key", "__gone")
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(host_col).cast("string"), text))
-    kept = cut(verdicts, scan=True).where("kept").select(F.col("key").alias(key)).distinct()
-    out = keyed.join(kept, key, "left_semi").join(removed.select(F.col("key").alias(key), F.col("lines").alias(gone)), key, "left")
-    rest = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
-    return out.withColumn(text_col, F.when(F.col(gone).isNull(), text).otherwise(F.array_join(rest, "\n")))
+    one = F.array(F.struct(F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(rest).alias("text")))
+    kept = F.when(F.col("kept"), one).otherwise(F.expr("cast(array() as array<struct<text:string>>)"))
+    out = judged.select("__row", F.explode(kept).alias("__kept")).select(*(F.col("__kept.text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+    if chars_col and chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)

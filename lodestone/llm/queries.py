@@ -48,7 +48,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))[0].drop("key")
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op7_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +102,19 @@ t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, cap / w)
 o AS (SELECT s.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY shuffled, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size)))::BIGINT AS taken FROM o"""
 
+
+def _squeezed(x: str) -> str:
+    """Lower-cased, digits as 0, white space to single spaces, none at the ends."""
+    return rf"trim(regexp_replace(translate({x}, '{_UP}123456789', '{_LOW}000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+
+
 ORACLE_SQL["op6_line_rules"] = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
 ln AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, unnest(generate_series(1, len(string_split(t, chr(10))))) AS at FROM d),
-lw AS (SELECT *, len(regexp_extract_all(line, '{_W}')) AS n, ('0x' || substr(md5(regexp_replace(regexp_replace(translate(line, '{_UP}123456789', '{_LOW}000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g')), 1, 15))::BIGINT AS h FROM ln WHERE regexp_matches(line, '{_W}')),
-id AS (SELECT doc_id, source, min(h) AS doc FROM lw GROUP BY ALL),
-lim AS (SELECT source, greatest(10, count(DISTINCT doc) * 0.02::DOUBLE) AS most FROM id GROUP BY source),
-freq AS (SELECT lw.source, h FROM lw JOIN id ON lw.doc_id = id.doc_id JOIN lim ON lim.source = lw.source GROUP BY lw.source, h, most HAVING count(DISTINCT doc) > most),
-gone AS (SELECT doc_id, sum(n)::BIGINT AS frequent_words FROM lw JOIN freq USING (source, h) GROUP BY doc_id),
+lw AS (SELECT *, len(regexp_extract_all(line, '{_W}')) AS n, {_squeezed('line')} AS norm FROM ln WHERE regexp_matches(line, '{_W}')),
+whole AS (SELECT doc_id, source, {_squeezed('t')} AS doc FROM d WHERE regexp_matches(t, '{_W}')),
+lim AS (SELECT source, greatest(10, count(DISTINCT doc) * 0.02::DOUBLE) AS most FROM whole GROUP BY source),
+freq AS (SELECT lw.source, norm FROM lw JOIN whole USING (doc_id) JOIN lim ON lim.source IS NOT DISTINCT FROM lw.source GROUP BY lw.source, norm, most HAVING count(DISTINCT whole.doc) > most),
+gone AS (SELECT lw.doc_id, sum(n)::BIGINT AS frequent_words FROM lw JOIN freq ON freq.source IS NOT DISTINCT FROM lw.source AND freq.norm = lw.norm GROUP BY lw.doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY doc_id),
 tri AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS i, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 3),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri), (VALUES (0), (1), (2)) z(k) WHERE c > 1 GROUP BY doc_id),

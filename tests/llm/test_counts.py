@@ -100,14 +100,14 @@ def test_pii_of_documents(spark, sf):
 def test_empty_tables(spark):
     docs = frame(spark, [(1, "a", "s")]).where(F.lit(False))
     assert pii.report(docs).count() == pii.sanitised(docs).count() == 0
-    assert quality.judge(docs)[0].count() == quality.cleaned(docs).count() == 0
+    assert quality.judge(docs).count() == quality.cleaned(docs).count() == 0
     assert mixing.plan(docs).count() == mixing.mixed(docs).count() == 0
 
 
 def test_quality_counts(spark, sf):
     texts = [None, "", "\n\n", "a b c a b c", "x\nx\n x\n\n", "a a a a a", "é# *\x0b$%&|<> \x1c"] + messy(7, 300, "ab \n") + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(150).collect()]
     docs = frame(spark, [(i, t, None) for i, t in enumerate(texts)])
-    for r in quality.judge(docs)[0].collect():
+    for r in quality.judge(docs).collect():
         want = brute.quality_counts(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
@@ -125,7 +125,7 @@ def test_frequent_lines(spark):
     copied = "\n".join(" ".join("abcde"[k] * (j + 1) for j in range(20)) for k in range(5))
     rows += [(200 + i, copied, "h") for i in range(50)]  # copies are one document
     docs = frame(spark, rows)
-    verdicts, _ = quality.judge(docs, least=10)
+    verdicts = quality.judge(docs, least=10)
     got = {x.doc_id: x for x in verdicts.collect()}
     assert verdicts.count() == len(rows)
     assert all(got[i].frequent_words == 4 and got[i].kept for i in range(60))
@@ -135,6 +135,24 @@ def test_frequent_lines(spark):
     assert clean[0] == rows[0][1].split("\n", 1)[1] and 100 not in clean and clean[200] == copied
 
 
+def test_a_footer_is_counted_whatever_its_hash(spark):
+    """100 different documents of one host share a footer; each document's own lines hash below and above it."""
+    r = random.Random(10)
+    for footer in [f"footer {w} of this host" for w in ("alpha", "beta", "gamma", "delta", "kappa", "omega")]:
+        rows = [(i, "\n".join([" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(3)] + [footer]), "h") for i in range(100)]
+        got = quality.judge(frame(spark, rows)).collect()
+        assert all(x.frequent_words == 5 and x.kept for x in got), footer
+
+
+def test_near_copies_are_documents_and_copies_are_one(spark):
+    r = random.Random(3)
+    body = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20)) for _ in range(4)]
+    near = [(i, "\n".join([*body, f"own line {'x' * i}"]), None) for i in range(12)]
+    copies = [(100 + i, "\n".join(["Other " + b for b in body]) + " " * i, None) for i in range(40)]
+    got = {x.doc_id: x.frequent_words for x in quality.judge(frame(spark, near + copies)).collect()}
+    assert all(got[i] == 80 for i in range(12)) and all(got[100 + i] == 0 for i in range(40))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_targets_and_taken(spark, seed):
     r = random.Random(seed)

@@ -21,13 +21,9 @@ def normalised(line):
     return " ".join(brute.words(line))
 
 
-def line_hash(line):
-    return int(hashlib.md5(normalised(line).encode()).hexdigest()[:15], 16)
-
-
 def quality(docs):
-    lines = [[(i, line, line_hash(line)) for i, line in enumerate(t.split("\n")) if brute.words(line)] for _, t, _ in docs]
-    own = [min((h for *_, h in ls), default=None) for ls in lines]
+    lines = [[(i, line, normalised(line)) for i, line in enumerate(t.split("\n")) if brute.words(line)] for _, t, _ in docs]
+    own = [normalised(t) for _, t, _ in docs]
     held, all_ = {}, {}
     for (_, _, s), ls, d in zip(docs, lines, own):
         if ls:
