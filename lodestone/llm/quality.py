@@ -85,7 +85,9 @@ def _lines(docs: DataFrame, text: Column, host: Column) -> DataFrame:
     text = F.coalesce(text, F.lit(""))
     held = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     own = F.array_distinct(F.transform(held, line_hash))
-    return docs.select(host.alias("host"), document_digest(text).alias("doc"), F.explode(own).alias("hash"))
+    # the digest in a projection of its own: beside the explode it would be made for each line
+    rows = docs.select(host.alias("host"), document_digest(text).alias("doc"), own.alias("own"))
+    return rows.select("host", "doc", F.explode("own").alias("hash"))
 
 
 def frequent_lines(lines: DataFrame, least: int = 10, part: float = 0.02) -> DataFrame:
