@@ -2,11 +2,13 @@
 
 Each source is a queue of its documents in shuffled order, again from the start when a pass is over. A
 copy's virtual finish time is the number of its source's words up to and including it, divided by the
-source's target. The mix is all copies in order of their virtual finish time, cut where the budget is
-spent: at virtual time 1 each source has been served exactly its target. The copy in service at the cut
-is taken up to the word that its source has been served.
+source's target. All sources' copies are sorted by their virtual finish times over ranges, and the mix is
+what comes before the total budget is spent: at virtual time 1 each source has been served its target but
+for the copy in service, and the copies that finish next fill the rest. The one copy at the cut is taken up
+to the word that spends the budget.
 
-All running sums work in two steps, sums of small buckets first, so no source is one task's work.
+All running sums work in two steps, sums of small buckets or of sorted ranges first, so no source is one
+task's work. Rows that repeat are one row with a count until the end.
 """
 
 from __future__ import annotations
@@ -21,10 +23,6 @@ from lodestone.llm.common import cut, fresh, word_count
 
 #: Hexadecimal digits of the shuffle key that make a bucket.
 _DIGITS = 3
-#: Ranges of virtual time; the mix serves words evenly over virtual time, so the ranges are even.
-_RANGES = 4096
-#: Keys of repeated rows that are broadcast: 8 bytes each.
-_BROADCAST_KEYS = 50_000
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -52,75 +50,97 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     return per.select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("w"))).alias("target"))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target, served_before, taken (and ``carry``).
-
-    served_before is the number of the source's words ahead of the document in the shuffled order. The
-    order is by MD5 of seed and id, then size: reruns agree, rows that repeat share their places out among
-    equals. Null text: size 0. Null ids and null sources are values of their own. An empty table: no rows.
-    """
-    small = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), *carry)
-    small = small.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
+def _placed(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str, carry: Sequence[str]) -> DataFrame:
+    """One row per distinct (doc_id, source, size, digest, carry) with the ``repeats`` of it, source_size,
+    target and served_before: its source's words ahead of the first of them in the shuffled order."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    small = docs.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), F.md5(text).alias("digest"), *carry)
     small = cut(small, scan=True)
-    small = small.withColumn("bucket", F.substring("shuffled", 1, _DIGITS))
     goal = cut(targets(small, weights, share, most))
-    buckets = small.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
+    rows = small.groupBy(*small.columns).agg(F.count("*").alias("repeats"))
+    # The text's digest is part of the key, so that rows without an id, or with the same, don't share a bucket.
+    rows = rows.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), "digest"))).withColumn("words", F.col("size") * F.col("repeats"))
+    rows = cut(rows.withColumn("bucket", F.substring("shuffled", 1, _DIGITS)))
+    buckets = rows.groupBy("source", "bucket").agg(F.sum("words").alias("in_bucket"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = buckets.withColumn("ahead", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).drop("in_bucket")
     inside = W.partitionBy("source", "bucket").orderBy("shuffled", "size", *carry).rowsBetween(W.unboundedPreceding, -1)
-    small = small.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0)))
     b, g = buckets.withColumnsRenamed({"source": "source_b", "bucket": "bucket_b"}), goal.withColumnRenamed("source", "source_g")
-    placed = small.join(b, F.col("source").eqNullSafe(F.col("source_b")) & (F.col("bucket") == F.col("bucket_b")))
-    placed = placed.join(g, F.col("source").eqNullSafe(F.col("source_g"))).withColumn("served_before", F.col("ahead") + F.col("within"))
-    quota = F.floor(F.col("target"))  # whole words
-
-    def served(start):
-        return F.greatest(F.lit(0), F.least(F.col("size"), quota - start))
-
-    passes = [served(F.col("served_before") + k * F.col("source_size")) for k in range(_passes(most))]
-    taken = sum(passes[1:], passes[0]).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "served_before", taken.alias("taken"), F.array(*passes).cast("array<long>").alias("passes"), *carry)
-
-
-def _passes(most: float) -> int:
-    return max(1, -int(-most // 1))
-
-
-def queue(planned: DataFrame) -> DataFrame:
-    """The mix itself: a row per taken copy (doc_id, pass, words, finish, position), where ``finish`` is
-    its virtual finish time and ``position`` the number of words before it in the whole mix."""
-    copies = planned.select("*", F.posexplode("passes").alias("pass", "words")).where("words > 0")
-    finish = (F.col("served_before") + F.col("pass") * F.col("source_size") + F.col("words")) / F.col("target")
-    copies = copies.withColumn("finish", finish)
-    copies = copies.withColumn("range", F.least(F.lit(_RANGES - 1), F.floor(F.col("finish") * _RANGES)).cast("int"))
-    copies = cut(copies.drop("passes"))
-    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # over _RANGES rows at most
-    ranges = copies.groupBy("range").agg(F.sum("words").alias("in_range")).select("range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("ahead"))
-    inside = W.partitionBy("range").orderBy("finish", "source", "served_before", "doc_id").rowsBetween(W.unboundedPreceding, -1)
-    placed = copies.withColumn("within", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(F.broadcast(ranges), "range")
-    return placed.withColumn("position", F.col("ahead") + F.col("within")).drop("ahead", "within", "range")
+    rows = rows.join(b, F.col("source").eqNullSafe(F.col("source_b")) & (F.col("bucket") == F.col("bucket_b")))
+    rows = rows.join(g, F.col("source").eqNullSafe(F.col("source_g"))).withColumn("served_before", F.col("ahead") + F.col("within"))
+    return cut(rows.select("doc_id", "source", "size", "digest", *carry, "repeats", "source_size", "target", "served_before"))
+
+
+def _queue(rows: DataFrame, share: float, most: float) -> DataFrame:
+    """The mix: rows' columns, nth (of the repeats), pass, start, finish, position and taken of the copies of
+    which the mix takes words. ``position`` is the number of words before the copy in the whole mix."""
+    numbers = rows.agg(F.sum(F.col("size") * F.col("repeats")).alias("all"), F.max(F.when(F.col("target") > 0, F.col("size") / F.col("target"))).alias("longest")).first()
+    budget = int((numbers["all"] or 0) * min(share, most))
+    passes = max(1, -int(-most // 1))
+    each = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    each = each.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)).alias("nth"))
+    each = each.withColumn("start", F.col("pass") * F.col("source_size") + F.col("served_before") + F.col("nth") * F.col("size"))
+    each = each.withColumn("finish", (F.col("start") + F.col("size")) / F.col("target"))
+    # When the copies in service at virtual time 1 are all finished, every source has been served its target:
+    # what finishes later comes after the budget.
+    each = each.where(F.col("finish") <= 1.0 + (numbers["longest"] or 0.0) + 1e-9)
+    order = ["finish", F.col("source").asc_nulls_last(), "start"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written before it is read twice: the ranges' bounds are drawn anew whenever the sort is made again.
+    ranged = cut(each.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()), scan=True)
+    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    ranges = ranged.groupBy("range").agg(F.sum("size").alias("in_range")).select("range", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)).alias("ahead"))
+    inside = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    # ranges that begin beyond the budget aren't sorted
+    mix = ranged.join(F.broadcast(ranges.where(F.col("ahead") < budget)), "range")
+    mix = mix.withColumn("position", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    mix = mix.withColumn("taken", F.least(F.col("size"), F.lit(budget) - F.col("position"))).where("taken > 0")
+    return mix.drop("ahead", "range")
+
+
+def queue(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as a stream: doc_id, source, size, pass, finish, position and taken of its copies; sorted by
+    position it is in order of virtual finish times. See ``plan`` for what the parameters and rows mean."""
+    rows = _placed(docs, weights, share, most, seed, id_col, text_col, source_col, ())
+    return _queue(rows, share, most).select("doc_id", "source", "size", "pass", "finish", "position", "taken")
+
+
+def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, and taken: the words of all its
+    copies that come before the queue's budget, the words of ``share`` (at most ``most``) times all sizes.
+
+    A source's taken words differ from its target by less than its longest document at virtual time 1, and by
+    its part of what the copies in service there leave to fill. The order is by MD5 of seed, id and text:
+    reruns agree. Null text: size 0. Null ids and null sources are values of their own. Rows that repeat have
+    a row each; which of them a last copy counts for is arbitrary, as they are equal. A very long text is one
+    copy and may be the one at the cut. An empty table: no rows. Other columns are not read.
+    """
+    rows = _placed(docs, weights, share, most, seed, id_col, text_col, source_col, ())
+    own = ["doc_id", "source", "size", "digest", "nth", "source_size", "target"]
+    none = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("repeats") - 1)).alias("nth")).select(*own, F.lit(0).cast("long").alias("taken"))
+    taken = _queue(rows, share, most).select(*own, F.col("taken").cast("long"))
+    return none.unionByName(taken).groupBy(*own).agg(F.sum("taken").alias("taken")).drop("digest", "nth")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **how) -> DataFrame:
-    """docs as the mix takes them: a row for each taken copy; the copy at the cut ends with its last taken
-    word. Columns of docs stay; n_chars follows the text."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """docs as the mix takes them: a row for each taken copy, the copy at the cut ending with its last taken
+    word. Columns of docs stay; n_chars follows the text. Rows that repeat in every column are one row of the
+    texts, which their copies share; texts are moved once."""
     key, = fresh(docs, "__key")
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text, F.col(source_col)))
-    stream = queue(plan(keyed, id_col=id_col, text_col=text_col, source_col=source_col, carry=[key], **how))
-    words, size, number = fresh(keyed, "__words", "__size", "__row")
-    # Rows that repeat have the same key: the first place goes to the first of them and so on.
-    stream = stream.withColumn("nth", F.row_number().over(W.partitionBy(key, "pass").orderBy("served_before")))
-    stream = cut(stream.select(F.col(key), F.col("nth").alias(number), F.col("words").alias(words), F.col("size").alias(size)))
-    repeated = cut(keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
-    n = repeated.count()
-    if n == 0:
-        out = keyed.join(stream, key)  # one shuffle of the texts, without numbering them
+    others = [c for c in docs.columns if c != text_col]
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.md5(text).alias("text")))
+    keyed = docs.withColumn(key, F.unhex(F.md5(whole)))
+    rows = _placed(keyed, weights, share, most, seed, id_col, text_col, source_col, (key,))
+    words, size = fresh(keyed, "__words", "__size")
+    stream = cut(_queue(rows, share, most).select(F.col(key), F.col("taken").alias(words), F.col("size").alias(size)))
+    twice = cut(rows.where("repeats > 1").select(key).distinct())
+    if twice.isEmpty():
+        out = keyed.join(stream, key)
     else:
-        rep = F.broadcast(repeated) if n <= _BROADCAST_KEYS else repeated
-        once = keyed.join(rep, key, "left_anti").join(stream, key)
-        rows = keyed.join(rep, key, "left_semi").withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
-        out = once.unionByName(rows.join(stream, [key, number]))
+        once = keyed.join(twice, key, "left_anti").unionByName(keyed.join(twice, key, "left_semi").dropDuplicates([key]))
+        out = once.join(stream, key)
     whole = F.col(words) >= F.col(size)
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col(words).cast("int")), "")
     out = out.withColumn(text_col, F.when(whole, text).otherwise(first))

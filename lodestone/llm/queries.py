@@ -94,13 +94,16 @@ ORACLE_SQL["op2_hamming_topk"] = """WITH b AS (SELECT vec_id, list_transform(emb
 d AS (SELECT q.vec_id AS query, b.vec_id AS neighbor, len(list_filter(list_zip(q.s, b.s), lambda z: z[1] <> z[2])) AS distance FROM b q, b WHERE q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbor) AS rank FROM d) SELECT query, rank, neighbor, distance FROM r WHERE rank <= 10"""
 
-ORACLE_SQL["op3_weighted_mix"] = rf"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS size, md5('0:' || doc_id) AS shuffled FROM documents),
+ORACLE_SQL["op3_weighted_mix"] = rf"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_W}')) AS size, md5('0:' || doc_id || ':' || md5(coalesce(text, ''))) AS shuffled FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (SELECT *, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM src),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, w * (SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap)) AS target FROM l),
-o AS (SELECT s.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY shuffled, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size)))::BIGINT AS taken FROM o"""
+o AS (SELECT s.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY shuffled, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, source, size, start, (start + size) / target::DOUBLE AS finish FROM (SELECT *, before + k * source_size AS start FROM o, (VALUES (0), (1)) passes(k) WHERE size > 0)),
+q AS (SELECT doc_id, size, coalesce(sum(size) OVER (ORDER BY finish, source NULLS LAST, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM c),
+k AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT floor(1.5::DOUBLE * sum(size)) FROM s) - position)))::BIGINT AS taken FROM q GROUP BY doc_id)
+SELECT doc_id, o.size, source_size, target, coalesce(taken, 0) AS taken FROM o LEFT JOIN k USING (doc_id)"""
 
 
 def _squeezed(x: str) -> str:

@@ -131,3 +131,35 @@ def mix(rows, weights=(3, 1, 2), share=1.5, most=2.0):
         left -= sum(target[s] for s in full)
         open_ = [s for s in open_ if s not in full]
     return {s: (size[s], target[s]) for s in order}
+
+
+def mix_queue(rows, share=1.5, most=2):
+    """rows (doc_id, source, text) -> (row number, words taken) of the copies in the mix, in order: one at a time
+    in order of virtual finish times until the budget is spent."""
+    size = [len(words(t)) for _, _, t in rows]
+    goal = mix([(s, n) for (_, s, _), n in zip(rows, size)], share=share, most=most)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    name = lambda i: "" if i is None else f":{i}"
+    served, copies = {}, []
+    for k in range(most):
+        for at in sorted(range(len(rows)), key=lambda at: (md5(f"0{name(rows[at][0])}:{md5(rows[at][2] or '')}"), size[at])):
+            s = rows[at][1]
+            if size[at]:
+                start = served.get(s, 0)
+                served[s] = start + size[at]
+                copies.append(((start + size[at]) / goal[s][1], s is None, s or "", start, at))
+    left, out = int(share * sum(size)), []
+    for *_, at in sorted(copies):
+        n = min(size[at], left)
+        left -= n
+        if n:
+            out.append((at, n))
+    return out
+
+
+def mix_taken(rows):
+    """(doc_id, source, size, taken) of each of rows (doc_id, source, text)."""
+    taken = {}
+    for at, n in mix_queue(rows):
+        taken[at] = taken.get(at, 0) + n
+    return [(i, s, len(words(t)), taken.get(at, 0)) for at, (i, s, t) in enumerate(rows)]

@@ -1,7 +1,5 @@
 """The pipeline against plain Python versions of its stages."""
 
-import hashlib
-import math
 from collections import Counter
 
 import numpy as np
@@ -66,16 +64,11 @@ def sanitise(text):
 
 
 def mix(docs):
-    size = {i: len(brute.words(t)) for i, t, _ in docs}
-    goal = brute.mix([(s, size[i]) for i, _, s in docs])
-    out, served = [], Counter()
-    for i, t, s in sorted(docs, key=lambda d: (hashlib.md5(f"0:{d[0]}".encode()).hexdigest(), size[d[0]])):
-        for k in (0, 1):
-            n = max(0, min(size[i], math.floor(goal[s][1] + 1e-9) - served[s] - k * goal[s][0]))
-            if n:
-                ends = [m.end() for m in brute.WORD.finditer(t)]
-                out.append((i, t if n == size[i] else t[: ends[n - 1]], s))
-        served[s] += size[i]
+    out = []
+    for at, n in brute.mix_queue([(i, s, t) for i, t, s in docs]):
+        i, t, s = docs[at]
+        ends = [m.end() for m in brute.WORD.finditer(t)]
+        out.append((i, t if n == len(ends) else t[: ends[n - 1]], s))
     return out
 
 
