@@ -1,10 +1,20 @@
 """Personal data: patterns, and terms that give protected entities away.
 
-The patterns find the protected entities themselves. A term that stands near an entity discloses it if
-the corpus shows the two together so often that seeing the term tells the entity: the information
-log2(P(entity | term) / P(entity)) is above ``bits``, P(entity | term) above ``posterior``, both estimated
-from the documents that hold them, and at least ``support`` distinct texts show the two together. Entities and merely telling terms are generalised to their kind;
-terms that all but determine the entity are removed. All DataFrame expressions.
+The patterns find the protected entities themselves. A term that stands near an entity (within ``reach``)
+discloses it if the corpus shows that seeing the term tells the entity. With P(entity | term) estimated as
+(n_both + a P(entity)) / (n_term + a), where n_both counts the distinct texts that show the two near each
+other, n_term those that hold the term anywhere, and ``a`` = ``prior`` texts' worth of doubt:
+
+* what the term leaves open, -log2 P(entity | term), is at most ``open_bits``, and
+* what it tells, log2(P(entity | term) / P(entity)), is at least the part ``share`` of the entity's own
+  information -log2 P(entity).
+
+Both are relative to the entity, so they mean the same at every size of corpus, for an entity in one text and
+for one in a third of all. Every occurrence of a disclosing term is marked, in all texts, with or without the
+entity in them. Entities and merely telling terms are generalised to their kind; terms that all but determine
+the entity (P at least ``removed``) are removed. All DataFrame expressions.
+
+Copies of a text are one text for all these counts. The first of the rows with a text counts for it.
 """
 
 from __future__ import annotations
@@ -76,11 +86,20 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _key(id_: Column, text: Column) -> Column:
+    """128 bits of id and text; a null id is no other id's."""
+    return F.unhex(F.md5(F.concat(F.when(id_.isNull(), "0:").otherwise(F.concat(F.lit("1"), id_.cast("string"), F.lit(":"))), text)))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def _contexts(found: DataFrame, reach: int) -> DataFrame:
-    """(key, text_hash, entity, term, start, end): tokens within ``reach`` code points of an entity, whole
-    tokens only and none that a pattern has matched. found: key, text, spans."""
-    e = found.select("key", "text", "spans", F.explode("spans").alias("e"))
-    e = e.select("key", F.xxhash64("text").alias("text_hash"), "text", "spans", F.xxhash64("e.kind", F.lower("e.value")).alias("entity"), "e.start", "e.end")
+    """Distinct (entity, term, text): tokens within ``reach`` code points of an entity, whole tokens only and
+    none that a pattern has matched; text is the text's digest. found: text, spans."""
+    e = found.select(_digest(F.col("text")).alias("digest"), "text", "spans").select("digest", "text", "spans", F.explode("spans").alias("e"))
+    e = e.select("digest", "text", "spans", _entity(F.col("e")).alias("entity"), "e.start", "e.end")
     low = F.greatest(F.lit(0), F.col("start") - reach)
     left = F.substring("text", low + 1, F.col("start") - low)
     right = F.substring("text", F.col("end") + 1, F.lit(reach))
@@ -89,56 +108,97 @@ def _contexts(found: DataFrame, reach: int) -> DataFrame:
         F.transform(matches(right, _TOKEN, TERM), lambda x: F.struct((x["start"] + F.col("end")).alias("start"), (x["end"] + F.col("end")).alias("end"), x["value"].alias("value"), ((x["end"] == reach) & (F.length("text") > F.col("end") + reach)).alias("cut"))),
     )
     whole = F.filter(tokens, lambda t: ~t["cut"] & ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    t = e.select("key", "text_hash", "entity", F.explode(whole).alias("t"))
-    return t.select("key", "text_hash", "entity", F.lower("t.value").alias("term"), "t.start", "t.end").distinct()
+    terms = F.array_distinct(F.transform(whole, lambda t: F.lower(t["value"])))
+    return e.select("digest", "entity", F.explode(terms).alias("term")).select("entity", "term", F.col("digest").alias("text")).distinct()
 
 
-def disclosing(docs: DataFrame, contexts: DataFrame, text_col: str, bits: float, posterior: float, support: int) -> DataFrame:
-    """(entity, term, p): the pairs above the thresholds, over all documents; p is P(entity | term).
+def _entity(span: Column) -> Column:
+    """128 bits of the kind and the lower-cased value."""
+    return F.unhex(F.md5(F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))))
 
-    Probabilities count documents; the support counts distinct texts, so one text and its copies prove
-    nothing. A document has each of its terms once, so terms are counted by partial sums, without a distinct.
-    """
-    per_text = contexts.select("entity", "term", "text_hash", "key").distinct().groupBy("entity", "term", "text_hash").agg(F.count("*").alias("n"))
-    together = per_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    together = cut(together)
-    # Terms and entities of which the corpus counts are wanted.
-    terms = cut(together.select("term").distinct())
-    small = terms.count() <= _BROADCAST_TERMS
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)))).alias("term"))
-    n_term = (held.join(F.broadcast(terms), "term", "left_semi") if small else held).groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = contexts.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = docs.agg(F.count("*").alias("n"))
-    p = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    joined = together.join(n_term, "term").join(n_entity, "entity").crossJoin(F.broadcast(n)).withColumn("p", p)
-    return joined.where((F.log2(F.col("p") * F.col("n") / F.col("n_entity")) >= bits) & (F.col("p") >= posterior)).select("entity", "term", "p")
 
+def _posterior(n_both: Column, n_term: Column, p_entity: Column, prior: float) -> Column:
+    return (n_both + F.lit(float(prior)) * p_entity) / (n_term + F.lit(float(prior)))
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, bits: float = 8.0, posterior: float = 0.5, removed: float = 0.9, support: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(rows, terms): per row of docs its id, key and base spans; per key the spans of disclosing terms.
 
-    A term's span has kind 4 and ``remove``, true if P(entity | term) is at least ``removed``. Null text
-    counts as empty. Rows that repeat share a key, have equal results and are one document beside an entity;
-    null ids stay. An empty table gives empty results.
+def _firsts(docs: DataFrame, key: Column, text: Column) -> tuple[DataFrame, DataFrame]:
+    """(copied, numbers): for each text that several rows have (digest, first, rows): the smallest key of these
+    and how many rows have that one; and one row (n) with the number of distinct texts."""
+    per = docs.select(_digest(text).alias("digest"), key.alias("key")).groupBy("digest", "key").agg(F.count("*").alias("rows"))
+    per = cut(per.groupBy("digest").agg(F.min(F.struct("key", "rows")).alias("first"), F.sum("rows").alias("all")))
+    copied = per.where("all > 1").select("digest", F.col("first.key").alias("first"), F.col("first.rows").alias("rows"))
+    return copied, per.agg(F.count("*").alias("n"))
+
+
+def telling_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, reach: int, open_bits: float, share: float, prior: float) -> tuple[DataFrame, DataFrame]:
+    """(terms, held): (term, p) above the thresholds, p the greatest P(entity | term) of an entity that the term
+    discloses; and (key, term) of the rows that hold one. found: (text, spans) of the rows with an entity.
+
+    The texts' tokens are gone through once, for the terms that can still be above the thresholds: a term is in
+    at least as many texts as it is near an entity in, which leaves few of the common words.
     """
+    least = F.lit(2.0 ** -open_bits)
+
+    def above(p: Column) -> Column:
+        return (p >= least) & (p >= F.pow(F.col("p_entity"), F.lit(1.0 - share)))
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.xxhash64(F.col(id_col), text)
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    rows = rows.drop("text")
-    found = docs.select(key.alias("key"), text.alias("text")).where(F.col("text").rlike(r"[0-9@]")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    key = _key(F.col(id_col), text)
+    copied, numbers = _firsts(docs, key, text)
+    numbers = F.broadcast(numbers)
     contexts = cut(_contexts(found, reach))
-    pairs = cut(disclosing(docs, contexts, text_col, bits, posterior, support))
-    hits = contexts.join(pairs, ["entity", "term"])
-    span = F.struct("start", F.lit(TERM).alias("kind"), "end", (F.col("p") >= removed).alias("remove"))
-    terms = hits.groupBy("key", "start", "end").agg(F.max("p").alias("p")).groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("terms"))
-    return rows, terms
+    n_entity = found.select(_digest(F.col("text")).alias("text"), F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    near = contexts.select("term", "text").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = both.join(near, "term").join(n_entity, "entity").crossJoin(numbers).withColumn("p_entity", F.col("n_entity") / F.col("n"))
+    pairs = cut(pairs.where(above(_posterior(F.col("n_both"), F.col("n_near"), F.col("p_entity"), prior))).select("term", "n_both", "p_entity"))
+    wanted = cut(pairs.select("term").distinct())
+    few = wanted.count() <= _BROADCAST_TERMS
+    rows = docs.select(key.alias("key"), _digest(text).alias("digest"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))).alias("terms"))
+    held = rows.select("key", "digest", F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    held = cut(held, scan=few)
+    # A copied text counts once: by its first key's rows, each for its part of one.
+    known = held.join(copied, "digest", "left")
+    part = F.when(F.col("first").isNull(), F.lit(1.0)).when(F.col("key") == F.col("first"), F.lit(1.0) / F.col("rows")).otherwise(F.lit(0.0))
+    n_term = known.groupBy("term").agg(F.round(F.sum(part)).cast("long").alias("n_term"))
+    scored = pairs.join(n_term, "term").withColumn("p", _posterior(F.col("n_both"), F.col("n_term"), F.col("p_entity"), prior))
+    terms = cut(scored.where(above(F.col("p"))).groupBy("term").agg(F.max("p").alias("p")))
+    few = terms.count() <= _BROADCAST_TERMS
+    return terms, held.join(F.broadcast(terms) if few else terms, "term").select("key", "term", "p")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, open_bits: float = 1.0, share: float = 0.5, prior: float = 1.0, removed: float = 0.9) -> DataFrame:
+    """(key, terms): for the rows of docs that hold disclosing terms their key (see ``_key``) and the spans of
+    these in the text: array<struct<start, kind 4, end, remove>> by place, whole tokens that no pattern's match
+    touches; ``remove`` if P(entity | term) is at least ``removed``.
+
+    Null text counts as empty. Rows that repeat share a key and have equal results. Null ids are ids. With the
+    default ``prior`` a term that stands in a single text, near an entity of a single text, is generalised: it
+    identifies that record; one that a second text holds without the entity is not. Documents with the two
+    further apart than ``reach`` give no evidence, but the term is marked in them. An empty table gives an empty
+    result. Texts are handled whole, within their rows.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = docs.select(text.alias("text")).where(F.col("text").rlike(r"[0-9@]")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
+    found = cut(base, scan=True)
+    terms, held = telling_terms(docs, found, id_col, text_col, reach, open_bits, share, prior)
+    per = cut(held.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", F.col("p") >= removed))).alias("telling")))
+    few = per.count() <= _BROADCAST_TERMS
+    keyed = docs.select(_key(F.col(id_col), text).alias("key"), text.alias("text")).join(F.broadcast(per) if few else per, "key").dropDuplicates(["key"])
+    keyed = keyed.withColumn("spans", base_spans(F.col("text")))
+    tokens = F.filter(matches(F.col("text"), _TOKEN, TERM), lambda t: F.map_contains_key("telling", F.lower(t["value"])))
+    free = F.filter(tokens, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    spans = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(TERM).alias("kind"), t["end"].alias("end"), F.element_at("telling", F.lower(t["value"])).alias("remove")))
+    return cut(keyed.select("key", spans.alias("terms")).where(F.size("terms") > 0))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Counts and spans per row of docs: n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    rows, terms = find(docs, id_col, text_col, **how)
-    out = rows.join(terms, "key", "left")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    terms = find(docs, id_col, text_col, **how)
+    few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= _BROADCAST_TERMS
+    rows = docs.select(F.col(id_col).alias("id"), _key(F.col(id_col), text).alias("key"), base_spans(text).alias("spans"))
+    out = rows.join(F.broadcast(terms) if few else terms, "key", "left")
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     more = F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,remove:boolean>>)")), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
@@ -149,11 +209,10 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """docs with spans replaced: entities by [EMAIL], [IP], [CARD], [PHONE], telling terms by [TERM], terms
     that determine an entity removed. Overlapping spans are replaced once, by the first one's mark. Null
     text stays null; other columns stay, n_chars follows the text."""
-    _, terms = find(docs, id_col, text_col, **how)
+    terms = find(docs, id_col, text_col, **how)
     key, more, spans = fresh(docs, "__key", "__terms", "__spans")
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(text, F.lit(""))))
-    terms = cut(terms)
+    keyed = docs.withColumn(key, _key(F.col(id_col), F.coalesce(text, F.lit(""))))
     few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= _BROADCAST_TERMS
     told = terms.select(F.col("key").alias(key), F.col("terms").alias(more))
     out = keyed.join(F.broadcast(told) if few else told, key, "left")

@@ -146,16 +146,24 @@ def _tokens(part: str, at: str, cut: str) -> str:
  (SELECT *, unnest(regexp_extract_all({part}, '{_T}')) AS tok, unnest(regexp_split_to_array({part}, '{_T}')[:len(regexp_extract_all({part}, '{_T}'))]) AS gap, unnest(generate_series(1, len(regexp_extract_all({part}, '{_T}')))) AS i FROM ents)) WHERE NOT ({cut})"""
 
 
+def _tokens_of_texts() -> str:
+    """All tokens of all texts with their offsets."""
+    return f"""SELECT doc_id, s, s + length(tok) AS e, tok FROM (SELECT doc_id, tok, (sum(length(gap) + length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok))::BIGINT AS s FROM
+ (SELECT doc_id, unnest(regexp_extract_all(t, '{_T}')) AS tok, unnest(regexp_split_to_array(t, '{_T}')[:len(regexp_extract_all(t, '{_T}'))]) AS gap, unnest(generate_series(1, len(regexp_extract_all(t, '{_T}')))) AS i FROM d))"""
+
+
 ORACLE_SQL["op5_pii"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS ({_found(0, _EMAIL, 'true')} UNION ALL {_found(1, _IP, _OCTETS)} UNION ALL {_found(2, _CARD, f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")} UNION ALL {_found(3, _PHONE, f"length({_DIGITS}) BETWEEN 10 AND 15")}),
 ents AS (SELECT doc_id, kind, lower(v) AS v, s AS s0, e AS e0, greatest(0, s - 100) AS low, substr(t, greatest(0, s - 100) + 1, s - greatest(0, s - 100)) AS lp, substr(t, e + 1, 100) AS rp, length(t) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY s, kind) AS ent FROM b JOIN d USING (doc_id)),
 ctx AS ({_tokens('lp', 'low', 's = 0 AND low > 0')} UNION ALL {_tokens('rp', 'e0', 's + length(tok) = 100 AND size > e0 + 100')}),
 c AS (SELECT DISTINCT doc_id, kind, v, s, e, lower(tok) AS term FROM ctx WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = ctx.doc_id AND b.s < ctx.e AND ctx.s < b.e)),
-both_ AS (SELECT kind, v, term, count(DISTINCT doc_id) AS n_both, count(DISTINCT t) AS texts FROM c JOIN d USING (doc_id) GROUP BY ALL HAVING texts >= 3),
-nt AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '{_T}')) AS term FROM d) GROUP BY term),
-ne AS (SELECT kind, v, count(DISTINCT doc_id) AS n_entity FROM c GROUP BY ALL),
-tell AS (SELECT kind, v, term FROM both_ JOIN nt USING (term) JOIN ne USING (kind, v) WHERE least(1.0::DOUBLE, n_both / n_term::DOUBLE) >= 0.5 AND log2(least(1.0::DOUBLE, n_both / n_term::DOUBLE) * (SELECT count(*) FROM d) / n_entity) >= 8),
-x AS (SELECT DISTINCT doc_id, s, e FROM c JOIN tell USING (kind, v, term)),
+n AS (SELECT count(DISTINCT t)::DOUBLE AS n FROM d),
+both_ AS (SELECT kind, v, term, count(DISTINCT t) AS n_both FROM c JOIN d USING (doc_id) GROUP BY ALL),
+tk AS ({_tokens_of_texts()}),
+nt AS (SELECT lower(tok) AS term, count(DISTINCT t) AS n_term FROM tk JOIN d USING (doc_id) GROUP BY ALL),
+ne AS (SELECT kind, v, count(DISTINCT t) / (SELECT n FROM n) AS p_entity FROM ents JOIN d USING (doc_id) GROUP BY ALL),
+tell AS (SELECT DISTINCT term FROM both_ JOIN nt USING (term) JOIN ne USING (kind, v) WHERE (n_both + p_entity) / (n_term + 1) >= 0.5 AND (n_both + p_entity) / (n_term + 1) >= sqrt(p_entity)),
+x AS (SELECT doc_id, s, e FROM tk JOIN tell ON lower(tok) = term WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = tk.doc_id AND b.s < tk.e AND tk.s < b.e)),
 ba AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, string_agg((['email', 'ip', 'card', 'phone'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS line FROM b GROUP BY doc_id),
 al AS (SELECT doc_id, count(*) FILTER (kind = 4) AS n_terms, string_agg((['email', 'ip', 'card', 'phone', 'term'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS line FROM (SELECT doc_id, kind, s, e FROM b UNION ALL SELECT doc_id, 4, s, e FROM x) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(ba.line, '')) AS base_sha256, coalesce(al.line, '') AS spans, coalesce(n_terms, 0) AS n_terms FROM d LEFT JOIN ba USING (doc_id) LEFT JOIN al USING (doc_id)"""

@@ -96,6 +96,52 @@ def pii_row(text):
     return (*n, hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in s).encode()).hexdigest())
 
 
+TOKEN = re.compile(r"[^\W]+")
+
+
+def telling(texts, reach=100, open_bits=1.0, share=0.5, prior=1.0):
+    """{term: P(entity | term)} of the disclosing terms, all counts over distinct texts."""
+    distinct = {t or "" for t in texts}
+    near, holders, has = {}, {}, {}
+    for t in distinct:
+        for w in {m[0].lower() for m in TOKEN.finditer(t)}:
+            holders.setdefault(w, set()).add(t)
+        spans = pii_spans(t)
+        for s, k, e, _ in spans:
+            entity = (k, t[s:e].lower())
+            has.setdefault(entity, set()).add(t)
+            low, high = max(0, s - reach), min(len(t), e + reach)
+            for a, b in ((low, s), (e, high)):
+                for m in TOKEN.finditer(t[a:b]):
+                    x, y = m.start() + a, m.end() + a
+                    broken = (b == s and x == low > 0) or (a == e and y == e + reach < len(t))
+                    if not broken and not any(p < y and x < q for p, _, q, _ in spans):
+                        near.setdefault((entity, m[0].lower()), set()).add(t)
+    out = {}
+    for (entity, term), both in near.items():
+        own = len(has[entity]) / len(distinct)
+        p = (len(both) + prior * own) / (len(holders[term]) + prior)
+        if p >= 2**-open_bits and p >= own ** (1 - share):
+            out[term] = max(p, out.get(term, 0))
+    return out
+
+
+def term_spans(text, terms, removed=0.9):
+    """(start, end, mark) of the terms' tokens that no pattern's match touches."""
+    spans = pii_spans(text)
+    found = ((m.start(), m.end(), terms.get(m[0].lower())) for m in TOKEN.finditer(text or ""))
+    return [(a, b, "" if p >= removed else "[TERM]") for a, b, p in found if p is not None and not any(x < b and a < y for x, _, y, _ in spans)]
+
+
+def sanitise(text, terms):
+    out, at = [], 0
+    for a, b, mark in sorted([(a, b, f"[{k.upper()}]") for a, _, b, k in pii_spans(text)] + term_spans(text, terms)):
+        if a >= at:
+            out.append(text[at:a] + mark)
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def quality_counts(text):
     text = text or ""
     w = words(text)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, pii, quality
+from lodestone.llm.queries import ORACLE_SQL
 
 from . import brute
 
@@ -37,59 +38,56 @@ def test_base_spans(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.pii_row(t), t
 
 
-def brute_terms(texts, reach, bits, posterior, support):
-    """{(text number, start, end)} of the disclosing terms."""
-    import math
-    import re
-
-    token = re.compile(r"[^\W]+")
-    context, holders, n_e = {}, {}, {}
-    for i, t in enumerate(t or "" for t in texts):
-        for w in {m[0].lower() for m in token.finditer(t)}:
-            holders.setdefault(w, set()).add(i)
-        spans = brute.pii_spans(t)
-        for s, k, e, _ in spans:
-            entity = (k, t[s:e].lower())
-            n_e.setdefault(entity, set()).add(i)
-            low = max(0, s - reach)
-            for a, b in ((low, s), (e, min(len(t), e + reach))):
-                for m in token.finditer(t[a:b]):
-                    x, y = m.start() + a, m.end() + a
-                    if (x == a == low and low > 0 and a != e) or (y == b == e + reach and len(t) > e + reach):
-                        continue
-                    if any(p < y and x < q for p, _, q, _ in spans):
-                        continue
-                    context.setdefault((entity, m[0].lower()), []).append((i, t, x, y))
-    out = set()
-    for (entity, term), places in context.items():
-        both = {i for i, *_ in places}
-        p = len(both) / len(holders[term])
-        if len({t for _, t, *_ in places}) >= support and p >= posterior and math.log2(p * len(texts) / len(n_e[entity])) >= bits:
-            out |= {x[1:] for x in places}
-    return out
+def planted():
+    """Texts in which a name and a place stand near someone's address in several, near it in one only, far from it,
+    and without it; rare words beside an entity of one text; an entity that a third of all texts have; copies."""
+    r = random.Random(4)
+    common = [f"w{i}" for i in range(30)]
+    prose = lambda n: " ".join(r.choice(common) for _ in range(n))
+    texts = [prose(30) for _ in range(120)]
+    texts += [f"{prose(40)} Dr Zweistein of Kleinstadt reaches anna@x.org daily {prose(8)} {i}" for i in range(6)]
+    texts += [f"{prose(10)} ZWEISTEIN was seen. {prose(10)}", f"Zweistein, {prose(100)} anna@x.org {prose(30)}"]  # without the entity, and far from it
+    texts += [f"{prose(10)} in Kleinstadt {prose(5)} {i}" for i in range(9)]  # the place tells too little
+    texts += [f"{prose(20)} ask Einzig, +49 30 1234567, {prose(20)}", f"{prose(20)} ask Doppelt, +49 30 7654321, {prose(20)}", f"{prose(20)} Doppelt {prose(5)}"]
+    texts += [f"{prose(6)} mail info@host.example or hotline {prose(6)} {i}" for i in range(70)]
+    return texts + [texts[120]] * 3 + [texts[126]] * 5 + [None, ""]
+
+
+def sql_over(query, rows, columns):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=columns))
+    return con.execute(query).df().to_dict("records")
 
 
 def test_disclosing_terms(spark):
-    r = random.Random(4)
-    common = [f"w{i}" for i in range(30)]
-    texts = [" ".join(r.choice(common) for _ in range(30)) for _ in range(120)]
-    for i in range(6):
-        texts.append(f"{' '.join(r.choice(common) for _ in range(40))} Dr Zweistein reaches anna@x.org daily {' '.join(r.choice(common) for _ in range(8))} {i}")
-    texts += [texts[-1]] * 3 + [None, ""]
+    """With the parameters of production."""
+    texts = planted()
     docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    how = dict(reach=50, bits=3.0, posterior=0.5, support=3)
-    want = brute_terms(texts, **how)
-    assert any("zweistein" in t[a:b].lower() for t, a, b in want)
-    for r_ in pii.report(docs, **how).collect():
-        t = texts[r_.doc_id] or ""
-        got = {(t, int(a), int(b)) for k, a, b in (x.split(":") for x in r_.spans.split(",") if x) if k == "term"}
-        assert got == {w for w in want if w[0] == t}
-    clean = {r_.doc_id: r_.text for r_ in pii.sanitised(docs, **how).collect()}
-    assert "[EMAIL]" in clean[121] and "anna@" not in clean[121] and "Zweistein" not in clean[121]
-    assert clean[3] == texts[3] and clean[len(texts) - 2] is None
+    terms = brute.telling(texts)
+    assert {"zweistein", "einzig", "hotline"} <= set(terms) and not {"kleinstadt", "doppelt", "ask"} & set(terms) and not any(t[0] == "w" for t in terms)
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("term")] == [x[:2] for x in brute.term_spans(t, terms)], t
+    assert got[126].n_terms == 1 and got[126].n_email == 0  # the text without the entity
+    for x in sql_over(ORACLE_SQL["op5_pii"], [(i, t) for i, t in enumerate(texts)], ["doc_id", "text"]):
+        assert (got[x["doc_id"]].spans, got[x["doc_id"]].n_terms) == (x["spans"], x["n_terms"])
+    clean = {r_.doc_id: r_.text for r_ in pii.sanitised(docs).collect()}
+    assert clean == {i: None if t is None else brute.sanitise(t, terms) for i, t in enumerate(texts)}
+    assert "anna@" not in clean[121] and "Zweistein" not in clean[121] and "ZWEISTEIN" not in clean[126] and clean[3] == texts[3]
     assert pii.sanitised(docs).columns == docs.columns
 
 
+def test_pii_of_repeated_rows(spark):
+    """Rows that repeat, null ids and copies count as one text."""
+    rows = [(None, "Name Eins a@b.c", "s")] * 3 + [(5, "Name Eins a@b.c", "s")] * 2 + [(6, "Eins alone", "s"), (7, "Name alone", "s"), (8, "more words", "s")]
+    got = [(r.doc_id, r.n_terms) for r in pii.report(frame(spark, rows)).collect()]
+    terms = brute.telling([t for _, t, _ in rows])
+    assert sorted(got, key=str) == sorted([(i, len(brute.term_spans(t, terms))) for i, t, _ in rows], key=str)
+
+
 def test_pii_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
@@ -201,7 +199,7 @@ def test_ways_beyond_the_broadcasts(spark, sf, monkeypatch):
     """What is too large to broadcast takes another way to the same result."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     docs = docs.unionByName(docs.limit(20)).withColumn("source", F.lit("one"))
-    stages = (lambda d: quality.cleaned(d, least=3, part=0.001), lambda d: pii.sanitised(d, bits=1.0, posterior=0.1, support=2), mixing.mixed)
+    stages = (lambda d: quality.cleaned(d, least=3, part=0.001), lambda d: pii.sanitised(d, open_bits=3.0), mixing.mixed)
     rows = lambda df: sorted(map(str, df.collect()))
     near = [rows(f(docs)) for f in stages]
     assert near[0] != rows(docs) and near[1] != rows(docs)
