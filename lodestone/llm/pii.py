@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, fresh
+from lodestone.llm.common import cut, fresh, row_key
 
 #: In the order of the kinds. The e-mail and IP patterns start at the start of a run of their first class
 #: (or where the last match ended): a match that starts within a run would have started at its start. That
@@ -86,11 +86,6 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _key(id_: Column, text: Column) -> Column:
-    """128 bits of id and text; a null id is no other id's."""
-    return F.unhex(F.md5(F.concat(F.when(id_.isNull(), "0:").otherwise(F.concat(F.lit("1"), id_.cast("string"), F.lit(":"))), text)))
-
-
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -143,7 +138,7 @@ def telling_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
         return (p >= least) & (p >= F.pow(F.col("p_entity"), F.lit(1.0 - share)))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = _key(F.col(id_col), text)
+    key = row_key(F.col(id_col), text)
     copied, numbers = _firsts(docs, key, text)
     numbers = F.broadcast(numbers)
     contexts = cut(_contexts(found, reach))
@@ -168,7 +163,7 @@ def telling_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, open_bits: float = 1.0, share: float = 0.5, prior: float = 1.0, removed: float = 0.9) -> DataFrame:
-    """(key, terms): for the rows of docs that hold disclosing terms their key (see ``_key``) and the spans of
+    """(key, terms): for the rows of docs that hold disclosing terms their key (see ``row_key``) and the spans of
     these in the text: array<struct<start, kind 4, end, remove>> by place, whole tokens that no pattern's match
     touches; ``remove`` if P(entity | term) is at least ``removed``.
 
@@ -184,7 +179,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     terms, held = telling_terms(docs, found, id_col, text_col, reach, open_bits, share, prior)
     per = cut(held.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", F.col("p") >= removed))).alias("telling")))
     few = per.count() <= _BROADCAST_TERMS
-    keyed = docs.select(_key(F.col(id_col), text).alias("key"), text.alias("text")).join(F.broadcast(per) if few else per, "key").dropDuplicates(["key"])
+    keyed = docs.select(row_key(F.col(id_col), text).alias("key"), text.alias("text")).join(F.broadcast(per) if few else per, "key").dropDuplicates(["key"])
     keyed = keyed.withColumn("spans", base_spans(F.col("text")))
     tokens = F.filter(matches(F.col("text"), _TOKEN, TERM), lambda t: F.map_contains_key("telling", F.lower(t["value"])))
     free = F.filter(tokens, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
@@ -197,7 +192,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     terms = find(docs, id_col, text_col, **how)
     few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= _BROADCAST_TERMS
-    rows = docs.select(F.col(id_col).alias("id"), _key(F.col(id_col), text).alias("key"), base_spans(text).alias("spans"))
+    rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("key"), base_spans(text).alias("spans"))
     out = rows.join(F.broadcast(terms) if few else terms, "key", "left")
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     more = F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,remove:boolean>>)")), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
@@ -212,7 +207,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     terms = find(docs, id_col, text_col, **how)
     key, more, spans = fresh(docs, "__key", "__terms", "__spans")
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn(key, _key(F.col(id_col), F.coalesce(text, F.lit(""))))
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.coalesce(text, F.lit(""))))
     few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= _BROADCAST_TERMS
     told = terms.select(F.col("key").alias(key), F.col("terms").alias(more))
     out = keyed.join(F.broadcast(told) if few else told, key, "left")
