@@ -16,6 +16,12 @@ from pyspark.sql.types import ArrayType, StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"(?U)\S+"
+#: The characters that end a line, white space that doesn't, and both (as Unicode text processing,
+#: not Java, has them: the separators U+001C to U+001F are white space too).
+LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+BLANK = r"[\t \x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+SPACE = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: What documents, prompts and answers must look like to be read alike.
 HEADING = r"(?dm)^(#{1,6})\s+(.+?)\s*$"
 HEADING_LINE = r"(?dm)^#{1,6}\s+.*$"
 DIRECTIVE = r"(?s)\{\{.*?\}\}"
@@ -30,7 +36,7 @@ def empty_array(kind: str = "string") -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, r"^(?U)\s+|(?U)\s+\z", "")
+    return F.regexp_replace(x, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def all_matches(x: Column, pattern: str, group: int = 0) -> Column:
@@ -66,9 +72,9 @@ def is_blank(x: Column) -> Column:
 
 
 def normalize(x: Column) -> Column:
-    """One kind of line end, no blanks at line ends, at most one empty line, stripped."""
-    x = F.regexp_replace(x, r"\r\n?", "\n")
-    x = F.regexp_replace(x, r"(?dm)[ \t]+$", "")
+    """One kind of line end, no white space at line ends, at most one empty line, stripped."""
+    x = F.regexp_replace(x, LINE_END, "\n")
+    x = F.regexp_replace(x, rf"(?<!{BLANK}){BLANK}++(?=\n|\z)", "")
     return strip(collapse_newlines(x))
 
 
@@ -105,25 +111,21 @@ def unescape_each(x: pd.Series) -> pd.Series:
     return x.map(lambda a: None if a is None else [None if s is None else html.unescape(s) for s in a])
 
 
-def tidy_lines(x: Column) -> Column:
-    return strip(collapse_newlines(F.regexp_replace(x, r"(?dm)[ \t\f\x0b\r]+$", "")))
-
-
 def strip_html(x: Column, complete: bool = True) -> Column:
     """Plain text of HTML or of Markdown with tags. ``complete`` decodes every entity (in Python, by Arrow
     batches), otherwise the common ones (in the JVM)."""
     bare = strip_tags(x)
-    return tidy_lines(unescape(bare) if complete else unescape_common(bare))
+    return normalize(unescape(bare) if complete else unescape_common(bare))
 
 
 def clean_prop_type(x: Column, complete: bool = True) -> Column:
-    """Entities decoded, <br> and white space to single spaces, stripped."""
+    """Entities decoded, <br> (in this spelling) and white space to single spaces, stripped."""
     return one_line(unescape(x) if complete else unescape_common(x))
 
 
 def one_line(x: Column) -> Column:
     """<br> and white space to single spaces, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", " "), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(F.replace(x, F.lit("<br>"), F.lit(" ")), rf"{SPACE}+", " "))
 
 
 def preview(x: Column, size: int = 300) -> Column:
@@ -158,8 +160,10 @@ def without_frontmatter(x: Column) -> Column:
 
 
 def title_from_name(path: Column) -> Column:
-    words_ = F.regexp_replace(F.regexp_replace(stem(path), "[-_]+", " "), r"(?U)\s+", " ")
-    return F.initcap(strip(words_))
+    """Title Case: each run of letters with a case begins with a capital, after digits and apostrophes too."""
+    words_ = F.regexp_replace(F.regexp_replace(stem(path), "[-_]+", " "), rf"{SPACE}+", " ")
+    runs = all_matches(F.lower(strip(words_)), r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+")
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
 def doc_id(doc_type: Column, flat_name: Column) -> Column:
@@ -198,9 +202,14 @@ def without_markers(x: Column) -> Column:
 def marker_positions(x: Column) -> Column:
     """array<struct<pos, demo_id>>: demo markers, by their place in the text without markers."""
     gaps, ids = F.split(x, MARKER, -1), all_matches(x, MARKER, 1)
-    lengths = F.transform(F.slice(gaps, 1, F.size(ids)), lambda g: F.length(g))
-    ends = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, n: a + n))
-    return F.arrays_zip(ends.alias("pos"), ids.alias("demo_id"))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(ids)).alias("gap"), ids.alias("demo_id"))
+    zero = F.struct(F.lit(0).alias("at"), empty_array("struct<pos:int,demo_id:string>").alias("out"))
+
+    def step(a, x):
+        at = a["at"] + F.length(x["gap"])
+        return F.struct(at.alias("at"), F.array_append(a["out"], F.struct(at.alias("pos"), x["demo_id"].alias("demo_id"))).alias("out"))
+
+    return F.aggregate(pairs, zero, step, lambda a: a["out"])
 
 
 def cited_numbers(x: Column) -> Column:

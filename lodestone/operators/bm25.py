@@ -140,12 +140,14 @@ def corpus_postings(corpus: DataFrame, queries: DataFrame, k1: float = K1, b: fl
     """Postings of the queries' words only, written once, as document frequencies and scores both need them.
     The semi-join by these words comes before any shuffle when their number allows a broadcast; document
     frequencies of other words are never needed."""
-    wanted = cut(query_terms(queries).select("term").distinct())
+    wanted = cut(query_terms(queries).select("term").distinct().where("term <> ''"))
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
-    w = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").alias("doc_len"), F.explode_outer("w").alias("term")).where("term is not null")
-    tf = cut(w.join(wanted, "term", "left_semi").groupBy("doc_id", "ord", "doc_len", "term").agg(F.count("*").cast("bigint").alias("tf")))
-    one = F.broadcast(stats(lengths(corpus)))
+    # Words that aren't wanted are one null term of the document, of which it has one more, so that each has a row.
+    w = corpus.select("doc_id", "ord", T.words("text").alias("w")).select("doc_id", "ord", F.size("w").cast("bigint").alias("doc_len"), F.explode(F.array_append("w", "")).alias("term"))
+    w = w.join(wanted.withColumn("wanted", F.lit(True)), "term", "left").select("doc_id", "ord", "doc_len", F.when(F.col("wanted"), F.col("term")).alias("term"))
+    counted = cut(w.groupBy("doc_id", "ord", "doc_len", "term").agg(F.count("*").cast("bigint").alias("tf")))
+    tf, one = counted.where("term is not null"), F.broadcast(stats(counted.where("term is null")))
     terms = document_frequencies(tf).crossJoin(one).select("term", "avg_len", idf(F.col("n_docs"), F.col("df")).alias("idf"))
     return tf.join(terms, "term").withColumn("w", weight(F.col("tf"), F.col("idf"), F.col("doc_len"), F.col("avg_len"), k1, b)).select("term", "ord", "doc_id", "tf", "w")
 

@@ -20,18 +20,22 @@ def sections(text: Column) -> Column:
     "Document" of level 0; text before the first heading, unless blank, is the section "Introduction"."""
     gaps, found = F.split(text, T.HEADING, -1), T.all_matches(text, T.HEADING, 0)
     marks, titles = T.all_matches(text, T.HEADING, 1), T.all_matches(text, T.HEADING, 2)
-    starts = T.offsets(gaps, found)
-    n, size = F.size(found), F.length(text)
-
-    def one(start, i):
-        end = F.coalesce(F.get(starts, i + 1), size)
-        return F.struct(F.length(F.get(marks, i)).alias("level"), F.get(titles, i).alias("heading"), start.alias("start"), end.alias("end"))
+    size = F.length(text)
+    # An array of one makes the matches variables; as expressions they would be made anew for each section.
+    once = F.array(F.struct(T.offsets(gaps, found).alias("starts"), marks.alias("marks"), titles.alias("titles"), F.get(gaps, F.lit(0)).alias("lead"), size.alias("size")))
 
     def alone(heading, end):
         return F.array(F.struct(F.lit(0).alias("level"), F.lit(heading).alias("heading"), F.lit(0).alias("start"), end.alias("end")))
 
-    preface = F.when(T.is_blank(F.get(gaps, F.lit(0))), F.slice(alone("Introduction", size), 2, 0)).otherwise(alone("Introduction", F.get(starts, F.lit(0))))
-    return F.when(n == 0, alone("Document", size)).otherwise(F.concat(preface, F.transform(starts, one)))
+    def whole(m):
+        def one(start, i):
+            end = F.coalesce(F.get(m["starts"], i + 1), m["size"])
+            return F.struct(F.length(F.get(m["marks"], i)).alias("level"), F.get(m["titles"], i).alias("heading"), start.alias("start"), end.alias("end"))
+
+        preface = F.when(T.is_blank(m["lead"]), F.slice(alone("Introduction", m["size"]), 2, 0)).otherwise(alone("Introduction", F.get(m["starts"], F.lit(0))))
+        return F.when(F.size(m["starts"]) == 0, alone("Document", m["size"])).otherwise(F.concat(preface, F.transform(m["starts"], one)))
+
+    return F.get(F.transform(once, whole), F.lit(0))
 
 
 def token_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -78,7 +82,8 @@ def heading_only(text: Column) -> Column:
 def section_pairs(docs: DataFrame) -> DataFrame:
     """(doc columns, chunk_index, headings, char_start, char_end): each section with the next one, stride
     one; a lone section alone. Spans with nothing but headings are left out and take no number."""
-    s = docs.withColumn("__s", sections(F.col("text")))
+    # held as a column of its own, else the projections below would be merged and find the sections per section
+    s = docs.withColumn("__s", F.explode(F.array(sections(F.col("text")))))
     n = F.size("__s")
 
     def pair(x, i):

@@ -176,3 +176,39 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return index.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), F.lit(1).alias("rank"), "item", F.lit(0.0).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "item")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "item", "score")
+
+
+def gold_ranks(index: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, item, rank): the rank of each gold item (query_id, item) among all items, counted and not sorted:
+    1 + those with a larger score + ties before it. Items without a vector are no one's; a gold one is missing.
+
+    The gold items of QUERY_BATCH queries at a time are broadcast with their scores; each Arrow batch of the index
+    is counted against them."""
+    kind, qkind = index.schema["item"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    have = index.where("embedding is not null").select("item", "embedding")
+    out = None
+    for group in query_batches(queries.where("qvec is not null").select("query_id", "qvec")):
+        rows = gold.select("query_id", "item").distinct().join(F.broadcast(group), "query_id").join(have, "item").collect()  # the batch's gold
+        if not rows:
+            continue
+        qid = sorted({r.query_id for r in rows})
+        at = {q: n for n, q in enumerate(qid)}
+        qvec = {r.query_id: r.qvec for r in rows}
+        qmat = np.array([qvec[q] for q in qid], np.float64)
+        asked = [(r.query_id, r.item, round(float(np.dot(np.array(r.embedding, np.float64), qmat[at[r.query_id]])), 9)) for r in rows]
+        shared = index.sparkSession.sparkContext.broadcast((at, qmat, asked))
+
+        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            at, qmat, asked = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    s = np.round(np.stack(pdf["embedding"].to_numpy()).astype(np.float64) @ qmat.T, 9)
+                    item = pdf["item"].to_numpy()
+                    n = [int(((s[:, at[q]] > x) | ((s[:, at[q]] == x) & (item < i))).sum()) for q, i, x in asked]
+                    yield pd.DataFrame({"query_id": [q for q, *_ in asked], "item": [i for _, i, _ in asked], "ahead": n})
+
+        found = have.mapInPandas(count, f"query_id {qkind}, item {kind}, ahead long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return gold.limit(0).select("query_id", "item", F.lit(0).cast("bigint").alias("rank"))
+    return out.groupBy("query_id", "item").agg((F.sum("ahead") + 1).cast("bigint").alias("rank"))

@@ -74,9 +74,10 @@ def answerable(questions: DataFrame) -> DataFrame:
     return questions.where(F.col("type") != "unanswerable")
 
 
-def evaluate(questions: DataFrame, ranked: DataFrame, k: int = 5, depth: int | None = None) -> DataFrame:
+def evaluate(questions: DataFrame, ranked: DataFrame, k: int = 5, depth: int | None = None, ranks: DataFrame | None = None) -> DataFrame:
     """Per answerable question its metrics, gold ranks, top k and type. questions: schemas.QUESTIONS; ranked:
-    (query_id, rank, item) at full depth. A ranking of fewer than k items, or no question, raises."""
+    (query_id, rank, item) at full depth, or its first k if the gold items' ranks (query_id, item, rank) are given.
+    A ranking of fewer than k items, or no question, raises."""
     q = answerable(questions)
     gold = q.select(F.col("question_id").alias("query_id"), F.explode("gold_chunk_ids").alias("item"))
     if q.isEmpty():
@@ -84,7 +85,7 @@ def evaluate(questions: DataFrame, ranked: DataFrame, k: int = 5, depth: int | N
     if depth is not None and depth < k:
         raise ValueError("rankings are shorter than k")
     validate(ranked.join(q.select(F.col("question_id").alias("query_id")), "query_id", "left_semi"), gold, k)
-    ranks = gold_ranks(ranked, gold)
+    ranks = gold_ranks(ranked, gold) if ranks is None else gold_ranks(ranks, gold)
     top = ranked.where(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("top_k_chunk_ids"))
     out = per_query(ranks, k).join(gold_rank_map(ranks), "query_id").join(top, "query_id", "left")
     facts = q.select(F.col("question_id").alias("query_id"), F.col("type").alias("question_type"), "question_text", "gold_chunk_ids")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans.queries import API, DIRECTIVES, FRONT, INDEX, MEMBERS
+from lodestone.plans.queries import API, DIRECTIVES, EDGES, FRONT, INDEX, MEMBERS
 from lodestone.plans.queries import _LITERAL as LITERAL
 
 
@@ -15,9 +15,16 @@ def values(rows) -> str:
 
 WORD = r"[\p{L}\p{N}_]+"
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
-NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+#: Lines by splitting at each end, each trimmed by its characters.
+ENDS = "chr(11) chr(12) chr(13) chr(28) chr(29) chr(30) chr(133) chr(8232) chr(8233)".split()
+ALL_SPACE = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+LINES = "{0}"
+for _end in ("chr(13) || chr(10)", *ENDS):
+    LINES = f"replace({LINES}, {_end}, chr(10))"
+TIDY = f"trim(regexp_replace(array_to_string(list_transform(string_split({LINES}, chr(10)), lambda line: rtrim(line, {ALL_SPACE})), chr(10)), '\\n{{{{3,}}}}', chr(10) || chr(10), 'g'), {ALL_SPACE})"
+NORMAL = TIDY
 ANSWER = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), '’', ''''), '\[\d+\]', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s'']', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&#39;', ''''), '&amp;', '&')"
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&#39;', ''''), '&#124;', '|'), '&#8230;', '…'), '&amp;', '&')"
 TAGS = r"regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '(?is)<style\b[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g')"
 
 BM25 = f"""words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM documents),
@@ -154,9 +161,9 @@ ORACLE_SQL = {
     "demo_claim": f"""WITH {DOCS}, {PARTS}, mk AS (SELECT doc_id, length(text) * i // 7 AS pos, 'd' || (i % 3) AS demo_id FROM documents, generate_series(1, 7) g(i)),
  hit AS (SELECT doc_id, part, demo_id, min(pos) AS pos FROM spans JOIN mk USING (doc_id) WHERE pos >= char_start AND pos < char_end GROUP BY ALL)
  SELECT doc_id || '#' || part AS chunk_id, coalesce(string_agg(demo_id, ',' ORDER BY pos, demo_id), '') AS demo_refs FROM spans LEFT JOIN hit USING (doc_id, part) GROUP BY doc_id, part""",
-    "strip_html": r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(" + UNESCAPE.format(TAGS.format("html")) + r", '(?m)[ \t\f\v\r]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain FROM pages",
+    "strip_html": f"SELECT page_id, {TIDY.format(UNESCAPE.format(TAGS.format('html')))} AS plain FROM (SELECT page_id, html FROM pages UNION ALL SELECT * FROM {values(EDGES)} t(page_id, html))",
     "html_unescape": f"SELECT page_id, {UNESCAPE.format('html')} AS plain FROM pages",
-    "normalize_text": f"SELECT doc_id, md5({NORMAL.format('text')}) AS normal_md5, md5({ANSWER.format('text')}) AS answer_md5 FROM documents",
+    "normalize_text": f"SELECT doc_id, md5({NORMAL.format('text')}) AS normal_md5, md5({ANSWER.format('text')}) AS answer_md5 FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {values(EDGES)} t(doc_id, text))",
     "ws_token_count": r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n_tokens FROM documents",
     "preview_text": "SELECT doc_id, replace(substr(text, 1, 300), chr(10), ' ') AS preview FROM documents",
     "event_props": "SELECT event_id, unnest(json_keys(props)) AS prop, json_extract_string(props, '$.' || unnest(json_keys(props))) AS prop_value FROM events",
@@ -165,7 +172,7 @@ ORACLE_SQL = {
  SELECT id, regexp_replace(title, '^''(.*)''$', '\1') AS title, component, regexp_replace(raw, '^---\s*\n((?s:.*?)\n)---\s*\n?', '') AS body FROM v""",
     "api_flatten": rf"""WITH d AS (SELECT * FROM {values(API)} t(id, raw)), p AS (SELECT id, unnest(json_keys(raw, '$.props')) AS k, unnest(generate_series(1, len(json_keys(raw, '$.props')))) AS i, raw FROM d WHERE len(json_keys(raw, '$.props')) > 0),
  s AS (SELECT id, i, k, coalesce(nullif(json_extract_string(raw, '$.props.' || k || '.type.description'), ''), nullif(json_extract_string(raw, '$.props.' || k || '.type.name'), ''), 'unspecified') AS ty, json_extract_string(raw, '$.props.' || k || '.default') AS df, coalesce(json_extract_string(raw, '$.props.' || k || '.description'), '') AS ds FROM p),
- c AS (SELECT id, i, k, df, trim(regexp_replace(regexp_replace({UNESCAPE.format('ty')}, '(?i)<br\s*/?>', ' ', 'g'), '\s+', ' ', 'g')) AS ty, trim(regexp_replace(regexp_replace({UNESCAPE.format('ds')}, '(?i)<br\s*/?>', ' ', 'g'), '\s+', ' ', 'g')) AS ds FROM s),
+ c AS (SELECT id, i, k, df, trim(regexp_replace(regexp_replace({UNESCAPE.format('ty')}, '<br>', ' ', 'g'), '[\s\x{{a0}}]+', ' ', 'g')) AS ty, trim(regexp_replace(regexp_replace({UNESCAPE.format('ds')}, '<br>', ' ', 'g'), '[\s\x{{a0}}]+', ' ', 'g')) AS ds FROM s),
  l AS (SELECT id, i, 'Prop `' || k || '`: type ' || ty || '.' || coalesce(' Default: ' || df || '.', '') || CASE WHEN ds <> '' THEN ' ' || ds ELSE '' END AS line FROM c)
  SELECT d.id, coalesce(json_extract_string(raw, '$.name'), 'Unknown component') || ' component API reference.' || coalesce((SELECT string_agg(chr(10) || line, '' ORDER BY i) FROM l WHERE l.id = d.id), '') AS flat FROM d""",
     "directives": rf"""WITH {DIRECTIVE}, g AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{DIR}')) AS gap, unnest(generate_series(0, len(regexp_split_to_array(text, '{DIR}')) - 1)) AS n FROM d),

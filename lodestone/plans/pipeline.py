@@ -86,10 +86,19 @@ class Pipeline:
         return self.questions.select(F.col("question_id").cast("long").alias("query_id"), F.col("question_text").alias("text"))
 
     def evaluate_retrieval(self, system: str, k: int = 5) -> DataFrame:
-        """Metrics at k with reciprocal ranks over the full depth."""
+        """Metrics at k with reciprocal ranks over the full depth: the first k are searched, and the gold chunks'
+        ranks are counted, so no ranking of all chunks is made."""
         depth = self.read("chunks").count()
-        ranked = self.search(system, self._asked(), depth).withColumnRenamed("chunk_id", "item")
-        return self.write(f"retrieval_{system}", retrieval_metrics.evaluate(self.questions.withColumn("question_id", F.col("question_id").cast("long")), ranked, k, depth))
+        asked = self._asked()
+        ranked = self.search(system, asked, k).withColumnRenamed("chunk_id", "item")
+        questions = self.questions.withColumn("question_id", F.col("question_id").cast("long"))
+        gold = retrieval_metrics.answerable(questions).select(F.col("question_id").alias("query_id"), F.explode("gold_chunk_ids").alias("item")).distinct()
+        if system == "bm25":
+            index = bm25.Index.load(self.spark, self.path("bm25"))
+            ranks = bm25.gold_ranks(index.scores(asked), gold.withColumnRenamed("item", "doc_id"), index.docs).withColumnRenamed("doc_id", "item")
+        else:
+            ranks = dense.gold_ranks(self.read("dense").select(F.col("chunk_id").alias("item"), "embedding"), models.embed_queries(asked, self.embedder).select("query_id", "qvec"), gold)
+        return self.write(f"retrieval_{system}", retrieval_metrics.evaluate(questions, ranked, k, depth, ranks))
 
     def results(self, system: str, k: int = rag.TOP_K) -> DataFrame:
         c = self.read("chunks").select("chunk_id", "doc_id", "text", "metadata.url", "metadata.demo_refs")

@@ -151,15 +151,21 @@ def demo_claim(spark, sf_dir):
 
 
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(spark.createDataFrame(EDGES, "page_id long, html string"))
+    return pages.select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
 
 def html_unescape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.unescape(F.col("html")).alias("plain"))
 
 
+#: Line ends and white space of every kind, at line ends and elsewhere.
+EDGES = [(-1, "a\u00a0 \nb\x0bc\x0cd\u0085e\u2028f\u2029g\x1ch"), (-2, " \u3000x\u2003\r\n\r\n\x1f\r\ny\t\x1f\rz\u00a0"), (-3, "\x1c\x1d\x1e"), (-4, "one\u00a0two\u2003\u202f")]
+
+
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("normal_md5"), F.md5(T.normalize_answer(F.col("text"))).alias("answer_md5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(EDGES, "doc_id long, text string"))
+    return docs.select("doc_id", F.md5(T.normalize(F.col("text"))).alias("normal_md5"), F.md5(T.normalize_answer(F.col("text"))).alias("answer_md5"))
 
 
 def ws_token_count(spark, sf_dir):
@@ -185,7 +191,7 @@ def frontmatter(spark, sf_dir):
     return d.select("id", F.try_element_at(m, F.lit("title")).alias("title"), F.try_element_at(m, F.lit("components")).alias("component"), T.without_frontmatter(F.col("raw")).alias("body"))
 
 
-API = [(1, '{"name":"Button","props":{"color":{"type":{"name":"enum","description":"&#39;a&#39;<br>| &#39;b&#39;"},"default":"\'a\'","description":"The  color."},"onClick":{"type":{"name":"func"}},"sx":{"type":{},"description":""}}}'), (2, '{"name":"Empty","props":{}}'), (3, '{"props":{"x":{"type":{"name":"bool"},"default":"false"}}}')]
+API = [(1, '{"name":"Button","props":{"color":{"type":{"name":"enum","description":"&#39;a&#39;<br>&#124;&nbsp;&#39;b&#39;"},"default":"\'a\'","description":"The  color&#8230;"},"onClick":{"type":{"name":"func"}},"sx":{"type":{},"description":""}}}'), (2, '{"name":"Empty","props":{}}'), (3, '{"props":{"x":{"type":{"name":"bool"},"default":"false"}}}')]
 
 
 def api_flatten(spark, sf_dir):

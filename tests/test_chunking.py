@@ -104,7 +104,19 @@ def test_validate(spark):
 
 def test_normalize(spark):
     r = random.Random(3)
-    ts = ["".join(r.choice(" \t\n\r\nab ") for _ in range(40)) for _ in range(300)]
-    ts = [t for t in ts if not re.search("\r(?!\n)", t)]
+    ts = ["".join(r.choice(" \t\n\r\nab \x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2003\u2028\u2029\u3000\n\n") for _ in range(40)) for _ in range(300)]
     got = [x.n for x in spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "i int, t string").select("i", T.normalize(F.col("t")).alias("n")).orderBy("i").collect()]
     assert got == [normal(t) for t in ts]
+
+
+def test_titles(spark):
+    names = ["3d-view", "b_side", "don't-stop", "été_2024x", "ALL-CAPS", "a1b2"]
+    got = [x.t for x in spark.createDataFrame([(i, f"x/{n}.md") for i, n in enumerate(names)], "i int, p string").select("i", T.title_from_name(F.col("p")).alias("t")).orderBy("i").collect()]
+    assert got == [" ".join(n.replace("-", " ").replace("_", " ").split()).title() for n in names]
+
+
+def test_many_sections_in_one_text(spark):
+    text = "".join(f"# h{i}\n\nbody {i}\n\n" for i in range(3000))
+    d = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = chunking.section_pairs(d).collect()
+    assert len(got) == 2999 and got[-1].headings == ["h2998", "h2999"] and got[0].char_start == 0
