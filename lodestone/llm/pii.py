@@ -40,8 +40,10 @@ _TOKEN = r"[\p{L}\p{M}\p{N}_]+"
 _BROADCAST_TERMS = 50_000
 
 
-def matches(text: Column, pattern: str, kind: int, when: Column | None = None) -> Column:
-    """array<struct<start, kind, end, value>> of the pattern's matches; offsets in code points."""
+def matches(text: Column, pattern: str, kind: int, when: Column | None = None, keep=None) -> Column:
+    """array<struct<start, kind, end, value>> of the pattern's matches, or of those whose value ``keep`` is true for;
+    offsets in code points. Matches that aren't kept cost no more than their length: the array is copied for
+    each that is."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
@@ -49,7 +51,8 @@ def matches(text: Column, pattern: str, kind: int, when: Column | None = None) -
     def step(a, x):
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+        more = F.array_append(a["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
+        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(x["value"]), more).otherwise(a["out"])).alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
     spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
@@ -179,12 +182,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     terms, held = telling_terms(docs, found, id_col, text_col, reach, open_bits, share, prior)
     per = cut(held.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", F.col("p") >= removed))).alias("telling")))
     few = per.count() <= _BROADCAST_TERMS
-    keyed = docs.select(row_key(F.col(id_col), text).alias("key"), text.alias("text")).join(F.broadcast(per) if few else per, "key").dropDuplicates(["key"])
+    keyed = docs.select(row_key(F.col(id_col), text).alias("key"), text.alias("text")).join(F.broadcast(per) if few else per, "key")
     keyed = keyed.withColumn("spans", base_spans(F.col("text")))
-    tokens = F.filter(matches(F.col("text"), _TOKEN, TERM), lambda t: F.map_contains_key("telling", F.lower(t["value"])))
+    tokens = matches(F.col("text"), _TOKEN, TERM, keep=lambda v: F.map_contains_key("telling", F.lower(v)))
     free = F.filter(tokens, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     spans = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(TERM).alias("kind"), t["end"].alias("end"), F.element_at("telling", F.lower(t["value"])).alias("remove")))
-    return cut(keyed.select("key", spans.alias("terms")).where(F.size("terms") > 0))
+    marked = cut(keyed.select("key", spans.alias("terms")), scan=few)
+    return cut(marked.where(F.size("terms") > 0).groupBy("key").agg(F.first("terms").alias("terms")))  # rows that repeat have the same
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
