@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def cut(df: DataFrame, scan: bool = False) -> DataFrame:
     """Cut the lineage: written as Parquet into spark.checkpoint.dir, which every executor can read, and
-    read again. A folder of our own is used only where the session names none (tests, notebooks).
+    read again. A folder of our own is used only in local mode, where the session names none (tests, notebooks).
 
     What comes out of a shuffle is written by two tasks for each core at most, not as a file for each shuffle
     partition; with ``scan``, each task of the scan that made it writes its own file.
@@ -25,7 +25,11 @@ def cut(df: DataFrame, scan: bool = False) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; without it a folder of our own in local mode, where all tasks share the machine, and
+    an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or _own_folder()
 
 
