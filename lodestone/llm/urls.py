@@ -3,7 +3,7 @@
 The list holds host-and-path rules and single canonical URLs. Every URL is turned into the canonical
 strings that could be listed for it; the Bloom filter, one 512-bit block of eight words to each string,
 passes possible hits only; the exact join removes its false positives. URLs are judged once however often
-they occur, so a hot URL costs nothing more.
+they occur; only the join of the verdicts back to the rows sees a hot URL's rows, and null ones aren't joined.
 """
 
 from __future__ import annotations
@@ -84,18 +84,21 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
     ``fresh``). listed: the union of ``rules`` and ``blocked``.
 
     A rule fits its host and all subdomains if the path starts with its path; the longest fitting rule
-    decides. Without one, a listed URL is blocked and any other allowed. Null and malformed URLs have an
+    decides. Very long URLs and hosts of very many labels are judged like others, by their last labels. Without
+    one, a listed URL is blocked and any other allowed. Null and malformed URLs have an
     empty host and path and are allowed. A rule or URL may be listed repeatedly; of rules of equal length
     the block goes first. An empty list allows all; empty pages give an empty result.
     """
     listed = cut(listed.distinct())
-    facts = listed.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.when(F.col("kind") == "rule", F.col("path_len")))).alias("lens")).first()
+    facts = listed.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.when(F.col("kind") == "rule", F.col("path_len")))).alias("lens"),
+                       F.max(F.when(F.col("kind") == "rule", F.size(F.split(F.split_part("text", F.lit("\n"), F.lit(1)), "[.]")))).alias("labels")).first()
     blocks = max(1, -(-facts.n * _BITS // 512))
     url, h, p = F.col("__url"), F.col("__host"), F.col("__path")
     distinct = pages.where(F.col(url_col).isNotNull()).select(F.col(url_col).alias("__url")).distinct()
     distinct = distinct.withColumns({"__host": host(url), "__path": path(url)})
     lens = F.array(*(F.lit(n) for n in facts.lens)) if facts.lens else F.expr("cast(array() as array<int>)")
-    suffixes = F.expr("transform(sequence(1, size(split(__host, '[.]'))), i -> concat_ws('.', slice(split(__host, '[.]'), i, size(split(__host, '[.]')))))")
+    # suffixes of no more labels than a rule has: a hostile host of very many labels makes no more of them
+    suffixes = F.expr(f"transform(array(struct(split(__host, '[.]') as p)), x -> transform(sequence(1, least(size(x.p), {facts.labels or 1})), n -> concat_ws('.', slice(x.p, size(x.p) - n + 1, n))))[0]")
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(lens, lambda n: n <= F.length(p)), lambda n: F.concat(s, F.lit("\n"), F.substring(p, F.lit(1), n)))))
     texts = F.array_distinct(F.concat(F.array(canonical(url)), F.when(h == "", F.expr("cast(array() as array<string>)")).otherwise(pairs)))
     candidates = distinct.select("__url", F.explode(texts).alias("text"))
@@ -106,5 +109,7 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url") -> DataFram
     judged = hits.groupBy("__url").agg(best.alias("best")).select("__url", F.col("best.rule").alias("__rule"), F.col("best.verdict").alias("__verdict"))
     names = fresh(pages, "host", "path", "rule", "verdict")
     own = fresh(pages, "__url", "__rule", "__verdict")
-    out = pages.join(judged.toDF(*own), F.col(url_col) == F.col(own[0]), "left")
+    given = pages.where(F.col(url_col).isNotNull()).join(judged.toDF(*own), F.col(url_col) == F.col(own[0]), "left")
+    none = pages.where(F.col(url_col).isNull()).select("*", *(F.lit(None).cast("string").alias(c) for c in own))
+    out = given.unionByName(none)
     return out.select(*pages.columns, host(F.col(url_col)).alias(names[0]), path(F.col(url_col)).alias(names[1]), F.col(own[1]).alias(names[2]), F.coalesce(F.col(own[2]), F.lit("allow")).alias(names[3]))
