@@ -5,8 +5,9 @@ and after it; neighbouring labels influence each other through the chain's trans
 backward passes give each line's marginal, and the marginals, weighted by the lines' lengths, the
 document's quality, which a logistic curve fitted on the training rows turns into a probability.
 
-Training takes a bounded sample of labelled documents (``sample`` of them, ``lines`` lines of each); every
-line of a training document carries the document's label. Scoring takes all lines of all documents.
+Training takes a bounded sample of labelled documents (``sample`` of them) with all of their lines; every line
+of a training document carries the document's label, and chains longer than ``piece`` lines are cut into several
+for the gradient. Scoring takes all lines of all documents, each text one chain.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(a * self.raw(docs, sizes) + b, -500, 500)))
 
 
-def train(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Chain:
+def train(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3, piece: int = 64) -> Chain:
     """Maximum likelihood by Adam. No rows: a chain that scores 0.5."""
     k = 3 * FEATURES
     if not docs:
@@ -99,13 +100,22 @@ def train(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, s
     mean, scale = flat.mean(axis=0), flat.std(axis=0)
     mean[scale < 1e-6] = 0.0
     scale[scale < 1e-6] = 1.0
+    # (document, first line) of the pieces; a line's neighbours are those of the whole text
+    whole, of, parts = docs, [], []
+    for i, d in enumerate(docs):
+        near = (with_neighbours(d) - mean) / scale
+        for at in range(0, len(d), piece):
+            of.append(i)
+            parts.append(near[at : at + piece])
+    per_doc = labels
+    labels, docs = labels[of], parts
     length, width = np.array([len(d) for d in docs]), max(len(d) for d in docs)
-    x = np.zeros((len(docs), width, k))
+    x = np.zeros((len(docs), width, k), np.float32)
     for i, d in enumerate(docs):
-        x[i, : len(d)] = (with_neighbours(d) - mean) / scale
+        x[i, : len(d)] = d
     on = np.arange(width) < length[:, None]
     y = labels[:, None] * on
-    w = (1 / np.sqrt(length))[:, None] * on  # a long document counts more, but not by each of its lines
+    w = (1 / np.sqrt([len(whole[i]) for i in of]))[:, None] * on  # a long document counts more, but not by each of its lines
     w /= w.sum()
     unary, transition = np.zeros(k), np.zeros((2, 2))
     m, v = np.zeros(k + 4), np.zeros(k + 4)
@@ -136,7 +146,7 @@ def train(docs: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, s
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         unary, transition = unary - move[:k], transition - move[k:].reshape(2, 2)
     chain = Chain(mean, scale, unary, transition)
-    chain.curve = _curve(chain.raw(docs, sizes), labels)
+    chain.curve = _curve(chain.raw(whole, sizes), per_doc)
     return chain
 
 
@@ -155,9 +165,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, lines: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain from at most ``sample`` labelled rows that aren't held out, taken in order of a hash of the
-    id, and at most ``lines`` lines of each, from its middle. Rows with a null id or label aren't used."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """A chain from at most ``sample`` labelled documents that aren't held out, taken in order of a hash of the id,
+    with whole texts. Rows with a null id or label aren't used; an id labelled both ways is two documents. If ids
+    repeat in docs, no more than ``sample`` rows of these are taken all the same."""
     rows = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("double").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id"))).distinct()
     rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
 
@@ -166,29 +177,45 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000, lines: int = 64,
             x, w = [], []
             for t in b.column(1):
                 f, s = line_features(t.as_py())
-                skip = max(0, (len(f) - lines) // 2)
-                x.append(f[skip : skip + lines].tobytes())
-                w.append(s[skip : skip + lines].tobytes())
+                x.append(f.tobytes())
+                w.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), pa.array(w, pa.binary())], names=["y", "x", "w"])
 
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     picked = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(rows), "id").select("id", "y", "text")
+    picked = picked.orderBy(F.xxhash64("id"), "id", "y", F.md5("text")).limit(sample)
     got = picked.select("y", "text").mapInArrow(run, "y double, x binary, w binary").collect()
     got.sort(key=lambda r: (r.y, r.x))  # the order of the sums, and with it the chain, is the same in each run
     xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
     return train(xs, [np.frombuffer(r.w) for r in got], np.array([r.y for r in got]))
 
 
+_LINES = 20_000
+
+
+def _by_lines(batch: pa.RecordBatch):
+    """Parts of the batch of about so many lines; a text of more is a part by itself."""
+    start, n = 0, 0
+    for i, t in enumerate(batch.column(1)):
+        own = (t.as_py() or "").count("\n") + 1
+        if n and n + own > _LINES:
+            yield batch.slice(start, i - start)
+            start, n = i, 0
+        n += own
+    yield batch.slice(start)
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(id_col, held_out, score, predicted, n_lines) per row of docs. Null text counts as empty, which is
     one empty line; rows repeat as they do in docs; only id and text are read."""
 
     def run(batches):
-        for b in batches:
-            f = [line_features(t or "") for t in b.column(1).to_pylist()]
-            s = chain.score([x for x, _ in f], [w for _, w in f]) if f else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([len(x) for x, _ in f], pa.int64())], names=["id", "score", "n_lines"])
+        for whole in batches:
+            for b in _by_lines(whole):
+                f = [line_features(t or "") for t in b.column(1).to_pylist()]
+                s = chain.score([x for x, _ in f], [w for _, w in f]) if f else np.empty(0)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([len(x) for x, _ in f], pa.int64())], names=["id", "score", "n_lines"])
 
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
