@@ -1,10 +1,13 @@
 """License scans by conditional compression.
 
 A block of text that follows a template compresses far better when the template is the compressor's raw
-dictionary. Candidate blocks (lines with license wording, and the notices they run on into) are compressed
-with zstandard once plainly and once with each template; the templates are ranked by how much they save, and
-confirmed, or not, by their exact wording differences from the block. All of them are: in a long block a short
-notice saves too little to be told by it.
+dictionary. All of a text is gone through in blocks: each is compressed with zstandard plainly and with all bodies
+(templates of ``_BODY`` words and more) as one dictionary, and where that saves enough, with each body; those that
+save what their own wording is worth are candidates, by size of the saving, and are confirmed, or not, by their
+exact wording differences from the block. No word of the text decides this.
+
+Short notices save too little in any block to be told by it. They are looked for, all of them, in the lines with
+license wording and the notices that these run on into.
 """
 
 from __future__ import annotations
@@ -46,12 +49,29 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "all-rights-reserved": ["All rights reserved."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"],
+    "WTFPL": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
+    "LGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "PostgreSQL": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."],
 }
 
 #: A line with one of these may begin or hold a notice.
 HINT = r"(?i)licen[sc]|copyright|rights reserved|creative commons|\bCC BY|free of charge|redistribut|public domain|free software|SPDX"
 _HINT = re.compile(HINT)
 _WORD = re.compile(r"[\w.+-]*\w")
+#: Words that make a template a body, told by compression alone, and the part of a body's own compressed size that
+#: its dictionary must save to make it a candidate.
+_BODY, _WORTH = 20, 0.3
 #: Blocks are cut where they are longer; neighbouring ones overlap by the longest template.
 _BLOCK, _OVERLAP = 4000, 1000
 
@@ -65,14 +85,38 @@ class Found:
     differences: int
 
 
+def _compressor(raw: str = "") -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(raw.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if raw else None
+    return zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False)
+
+
 @lru_cache(maxsize=1)
 def _templates():
-    out = []
+    """(templates, the plain compressor): (name, text, words, compressor, worth) each, worth in bytes."""
+    out, plain = [], _compressor()
     for name, texts in TEMPLATES.items():
         for t in texts:
-            d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, t, [w.lower() for w in _WORD.findall(t)], zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False)))
-    return out, zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
+            out.append((name, t, [w.lower() for w in _WORD.findall(t)], _compressor(t), _WORTH * len(plain.compress(t.lower().encode()))))
+    return out, plain
+
+
+@lru_cache(maxsize=1)
+def _bodies():
+    """(numbers of the bodies, the compressor with all of them, the least worth)."""
+    templates = _templates()[0]
+    numbers = [i for i, t in enumerate(templates) if len(t[2]) >= _BODY]
+    return numbers, _compressor("\n".join(templates[i][1] for i in numbers)), min(templates[i][4] for i in numbers)
+
+
+def candidates(block: str) -> list[int]:
+    """Bodies whose dictionary saves their worth on the block, the largest saving first."""
+    (templates, plain), (numbers, joint, least) = _templates(), _bodies()
+    raw = block.lower().encode()
+    size = len(plain.compress(raw))
+    if size - len(joint.compress(raw)) < least:
+        return []
+    saved = [(size - len(templates[i][3].compress(raw)), i) for i in numbers]
+    return [i for n, i in sorted(saved, key=lambda x: (-x[0], x[1])) if n >= templates[i][4]]
 
 
 def blocks(text: str) -> list[tuple[int, str]]:
@@ -101,12 +145,12 @@ def blocks(text: str) -> list[tuple[int, str]]:
     return parts
 
 
-def ranked(block: str) -> list[tuple[float, int]]:
+def ranked(block: str, numbers: list[int]) -> list[tuple[float, int]]:
     """(part of the block's bytes saved, template number), best first."""
     templates, plain = _templates()
     raw = block.lower().encode()
     size = len(plain.compress(raw))
-    saved = [((size - len(t[3].compress(raw))) / size, i) for i, t in enumerate(templates)]
+    saved = [((size - len(templates[i][3].compress(raw))) / size, i) for i in numbers]
     return sorted(saved, key=lambda x: (-x[0], x[1]))
 
 
@@ -117,9 +161,10 @@ def confirm(block: str, template: int, tolerance: float = 0.1) -> list[tuple[int
     tokens = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(block)]
     n, out, i = len(words), [], 0
     allowed = int(tolerance * n)
+    all_, opening = set(words), set(words[: allowed + 1])
     firm = {w for w in words if any(c.isdigit() for c in w) or w in _NAMES}
     while i + n - allowed <= len(tokens):
-        if tokens[i][2] not in words[: allowed + 1]:
+        if tokens[i][2] not in opening:
             i += 1
             continue
         best = None
@@ -129,8 +174,8 @@ def confirm(block: str, template: int, tolerance: float = 0.1) -> list[tuple[int
                 break
             if part == words:
                 d = 0
-            elif allowed == 0 or not firm <= set(part):
-                continue
+            elif allowed == 0 or not firm <= (held := set(part)) or len(all_ - held) > allowed:
+                continue  # each word that isn't there at all is a difference
             else:
                 d = sum(max(b - a, y - x) for op, a, b, x, y in SequenceMatcher(None, words, part, autojunk=False).get_opcodes() if op != "equal")
             if d <= allowed and (best is None or d < best[0]):
@@ -143,36 +188,45 @@ def confirm(block: str, template: int, tolerance: float = 0.1) -> list[tuple[int
     return out
 
 
-_NAMES = {"mit", "apache", "gnu", "bsd", "cc", "by", "by-nc", "by-sa", "attribution", "attribution-sharealike", "attribution-noncommercial"}
+_NAMES = {"lesser", "affero", "mozilla", "eclipse", "mit", "apache", "gnu", "bsd", "cc", "by", "by-nc", "by-sa", "attribution", "attribution-sharealike", "attribution-noncommercial"}
 
 
 def scan(text: str, tolerance: float = 0.1) -> tuple[int, list[Found]]:
-    """(candidate blocks, confirmed licenses by place). Every template is held against the block word by word,
-    those that save most first."""
-    found, parts = {}, blocks(text)
+    """(blocks with license wording or a candidate, confirmed licenses by place)."""
+    found, templates = {}, _templates()[0]
+    short = [i for i, t in enumerate(templates) if len(t[2]) < _BODY]
+
+    def hold(at: int, piece: str, numbers: list[int]) -> None:
+        for saved, i in ranked(piece, numbers):
+            for a, b, d in confirm(piece, i, tolerance):
+                f = Found(templates[i][0], at + a, at + b, round(saved, 6), d)
+                old = found.get((f.start, f.license))
+                if old is None or (-f.end, f.differences) < (-old.end, old.differences):
+                    found[f.start, f.license] = f
+
+    n = 0
+    for at in range(0, max(1, len(text) - _OVERLAP), _BLOCK - _OVERLAP):
+        piece = text[at : at + _BLOCK]
+        if numbers := candidates(piece):
+            n += 1
+            hold(at, piece, numbers)
+    parts = blocks(text)
     for start, block in parts:
-        # A line of its own is judged by itself as well, so that a long block can't hide a short notice.
-        pieces = [(start, block)] + [(start + m.start(), m[0]) for m in re.finditer(r"[^\n]+", block) if "\n" in block and _HINT.search(m[0])]
-        for at, piece in pieces:
-            for saved, i in ranked(piece):
-                for a, b, d in confirm(piece, i, tolerance):
-                    f = Found(_templates()[0][i][0], at + a, at + b, round(saved, 6), d)
-                    old = found.get((f.start, f.license))
-                    if old is None or (-f.end, f.differences) < (-old.end, old.differences):
-                        found[f.start, f.license] = f
+        hold(start, block, short)
+    n += len(parts)
     # Of overlapping finds the longer stays, then the one with fewer differences.
     kept = []
     for f in sorted(found.values(), key=lambda f: (f.differences - 2 * (f.end - f.start), f.start, f.license)):
         if all(f.end <= g.start or g.end <= f.start for g in kept):
             kept.append(f)
-    return len(parts), sorted(kept, key=lambda f: f.start)
+    return n, sorted(kept, key=lambda f: f.start)
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.1) -> DataFrame:
     """(id_col, n_blocks, licenses, finds) per row of docs: the distinct licenses in code-point order,
     comma-joined ('' if none), and array<struct<license, start, end, saved, differences>> by place.
 
-    Null text counts as empty: no blocks. Only texts with license wording are sent to Python, whole. Rows
+    Null text counts as empty: no blocks. Texts are read whole, whatever their length. Rows
     repeat as they do in docs; other columns are not read; an empty table gives an empty result.
     """
     find = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saved", pa.float64()), ("differences", pa.int64())])
@@ -189,7 +243,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
-    picked = docs.select(F.col(id_col).alias("id"), F.when(text.rlike(HINT), text).alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     out = picked.mapInArrow(run, f"id {kind}, n_blocks long, licenses string, finds array<struct<license:string,start:bigint,end:bigint,saved:double,differences:bigint>>")
     return out.withColumnRenamed("id", id_col)

@@ -75,6 +75,45 @@ def test_wording_differences():
     assert licenses.scan("") == (0, [])
 
 
+def test_reworded_bodies_without_license_words():
+    """Compression alone makes the candidates: the words of ``HINT`` are all replaced."""
+    import re
+
+    r = random.Random(8)
+    tried = 0
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            words = t.split()
+            for i, w in enumerate(words):
+                if re.search(licenses.HINT, w):
+                    words[i] = "terms"
+            body = re.sub(r"(?i)free of charge|free software|public domain|creative commons", "gratis", " ".join(words))
+            n = len(licenses._WORD.findall(t))
+            allowed, changed = int(0.1 * n), len(licenses._WORD.findall(t)) and sum(a != b for a, b in zip(t.split(), body.split()))
+            if n < licenses._BODY or re.search(licenses.HINT, body) or changed > allowed or len(body.split()) != len(t.split()):
+                continue
+            tried += 1
+            prose = lambda k: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(k))
+            text = f"{prose(700)} {body} {prose(700)}"
+            assert name in {f.license for f in licenses.scan(text)[1]}, (name, body)
+    assert tried >= 4
+
+
+def test_candidates_lose_nothing_that_every_template_would_find():
+    """Against the plain way: every body held against every block word by word."""
+    r = random.Random(9)
+    bodies = [(i, t) for i, t in enumerate(licenses._templates()[0]) if len(t[2]) >= licenses._BODY]
+    for k in range(60):
+        i, t = r.choice(bodies)
+        words = t[1].split()
+        for at in r.sample(range(len(words)), r.randrange(len(words) // 10 + 1)):
+            words[at] = r.choice(["another", "some", "wording"])
+        prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+        block = f"{prose(200)} {' '.join(words)} {prose(200)}"
+        want = {j for j, _ in bodies if licenses.confirm(block, j)}
+        assert want <= set(licenses.candidates(block)), (t[0], block)
+
+
 def test_notices_within_one_long_line():
     r = random.Random(3)
     common = "the of and to a in that is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
