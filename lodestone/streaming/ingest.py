@@ -1,7 +1,7 @@
 """Documents that keep arriving: the batch chunker on a stream of files.
 
-Chunking works within a document, so it runs on a stream as it is; each micro-batch's chunks and postings are
-appended as Parquet. Weights depend on the whole corpus and are made when the index is built from them.
+Chunking works within a document, so it runs on a stream as it is; each micro-batch's chunks are
+appended as Parquet. An index is built from them in a batch, as its weights depend on the whole corpus.
 """
 
 from __future__ import annotations
