@@ -128,12 +128,13 @@ def _firsts(docs: DataFrame, key: Column, text: Column) -> tuple[DataFrame, Data
     return copied, per.agg(F.count("*").alias("n"))
 
 
-def telling_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, reach: int, open_bits: float, share: float, prior: float) -> tuple[DataFrame, DataFrame]:
-    """(terms, held): (term, p) above the thresholds, p the greatest P(entity | term) of an entity that the term
-    discloses; and (key, term) of the rows that hold one. found: (text, spans) of the rows with an entity.
+def telling_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, reach: int, open_bits: float, share: float, prior: float) -> DataFrame:
+    """(text, term, p): the digests of the texts that hold a term above the thresholds, and p, the greatest
+    P(entity | term) of an entity that it discloses. found: (text, spans) of the rows with an entity.
 
-    The texts' tokens are gone through once, for the terms that can still be above the thresholds: a term is in
-    at least as many texts as it is near an entity in, which leaves few of the common words.
+    Terms are counted by partial sums, so what is shuffled is the vocabulary, not the tokens. A term is in at
+    least as many texts as it is near an entity in, which leaves few of the common words to be counted for; one
+    that is in no more is in known texts. Only the others are looked up in all texts.
     """
     least = F.lit(2.0 ** -open_bits)
 
@@ -141,6 +142,7 @@ def telling_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
         return (p >= least) & (p >= F.pow(F.col("p_entity"), F.lit(1.0 - share)))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0)))
     key = row_key(F.col(id_col), text)
     copied, numbers = _firsts(docs, key, text)
     numbers = F.broadcast(numbers)
@@ -149,28 +151,34 @@ def telling_terms(docs: DataFrame, found: DataFrame, id_col: str, text_col: str,
     both = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     near = contexts.select("term", "text").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     pairs = both.join(near, "term").join(n_entity, "entity").crossJoin(numbers).withColumn("p_entity", F.col("n_entity") / F.col("n"))
-    pairs = cut(pairs.where(above(_posterior(F.col("n_both"), F.col("n_near"), F.col("p_entity"), prior))).select("term", "n_both", "p_entity"))
+    pairs = cut(pairs.where(above(_posterior(F.col("n_both"), F.col("n_near"), F.col("p_entity"), prior))).select("term", "n_both", "n_near", "p_entity"))
     wanted = cut(pairs.select("term").distinct())
-    few = wanted.count() <= _BROADCAST_TERMS
-    rows = docs.select(key.alias("key"), _digest(text).alias("digest"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))).alias("terms"))
-    held = rows.select("key", "digest", F.explode("terms").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    held = cut(held, scan=few)
     # A copied text counts once: by its first key's rows, each for its part of one.
-    known = held.join(copied, "digest", "left")
+    few = copied.count() <= _BROADCAST_TERMS
+    known = docs.select(key.alias("key"), _digest(text).alias("digest"), text.alias("text")).join(F.broadcast(copied) if few else copied, "digest", "left")
     part = F.when(F.col("first").isNull(), F.lit(1.0)).when(F.col("key") == F.col("first"), F.lit(1.0) / F.col("rows")).otherwise(F.lit(0.0))
-    n_term = known.groupBy("term").agg(F.round(F.sum(part)).cast("long").alias("n_term"))
+    once = known.select(part.alias("part"), "text").where("part > 0")
+    counted = once.select("part", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)))).alias("term"))
+    if wanted.count() <= _BROADCAST_TERMS:
+        counted = counted.join(F.broadcast(wanted), "term", "left_semi")
+    n_term = counted.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term"))
     scored = pairs.join(n_term, "term").withColumn("p", _posterior(F.col("n_both"), F.col("n_term"), F.col("p_entity"), prior))
-    terms = cut(scored.where(above(F.col("p"))).groupBy("term").agg(F.max("p").alias("p")))
-    few = terms.count() <= _BROADCAST_TERMS
-    return terms, held.join(F.broadcast(terms) if few else terms, "term").select("key", "term", "p")
+    terms = cut(scored.where(above(F.col("p"))).groupBy("term").agg(F.max("p").alias("p"), (F.max("n_term") > F.max("n_near")).alias("elsewhere")))
+    held = contexts.select("text", "term").distinct().join(terms.where("not elsewhere"), "term").select("text", "term", "p")
+    elsewhere = terms.where("elsewhere").select("term", "p")
+    n = elsewhere.count()
+    if n:
+        all_ = docs.select(_digest(text).alias("text"), words.alias("terms")).select("text", F.explode("terms").alias("term"))
+        held = held.unionByName(all_.join(F.broadcast(elsewhere) if n <= _BROADCAST_TERMS else elsewhere, "term").select("text", "term", "p").distinct())
+    return held
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 100, open_bits: float = 1.0, share: float = 0.5, prior: float = 1.0, removed: float = 0.9) -> DataFrame:
-    """(key, terms): for the rows of docs that hold disclosing terms their key (see ``row_key``) and the spans of
-    these in the text: array<struct<start, kind 4, end, remove>> by place, whole tokens that no pattern's match
+    """(key, terms): for the texts of docs that hold disclosing terms their digest and the spans of these in the
+    text: array<struct<start, kind 4, end, remove>> by place, whole tokens that no pattern's match
     touches; ``remove`` if P(entity | term) is at least ``removed``.
 
-    Null text counts as empty. Rows that repeat share a key and have equal results. Null ids are ids. With the
+    Null text counts as empty. Rows with the same text have equal results. Null ids are ids. With the
     default ``prior`` a term that stands in a single text, near an entity of a single text, is generalised: it
     identifies that record; one that a second text holds without the entity is not. Documents with the two
     further apart than ``reach`` give no evidence, but the term is marked in them. An empty table gives an empty
@@ -179,16 +187,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(text.alias("text")).where(F.col("text").rlike(r"[0-9@]")).withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
     found = cut(base, scan=True)
-    terms, held = telling_terms(docs, found, id_col, text_col, reach, open_bits, share, prior)
-    per = cut(held.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", F.col("p") >= removed))).alias("telling")))
+    held = telling_terms(docs, found, id_col, text_col, reach, open_bits, share, prior)
+    per = cut(held.groupBy(F.col("text").alias("key")).agg(F.map_from_entries(F.collect_set(F.struct("term", F.col("p") >= removed))).alias("telling")))
     few = per.count() <= _BROADCAST_TERMS
-    keyed = docs.select(row_key(F.col(id_col), text).alias("key"), text.alias("text")).join(F.broadcast(per) if few else per, "key")
+    keyed = docs.select(_digest(text).alias("key"), text.alias("text")).join(F.broadcast(per) if few else per, "key")
     keyed = keyed.withColumn("spans", base_spans(F.col("text")))
     tokens = matches(F.col("text"), _TOKEN, TERM, keep=lambda v: F.map_contains_key("telling", F.lower(v)))
     free = F.filter(tokens, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     spans = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(TERM).alias("kind"), t["end"].alias("end"), F.element_at("telling", F.lower(t["value"])).alias("remove")))
     marked = cut(keyed.select("key", spans.alias("terms")), scan=few)
-    return cut(marked.where(F.size("terms") > 0).groupBy("key").agg(F.first("terms").alias("terms")))  # rows that repeat have the same
+    return cut(marked.where(F.size("terms") > 0).groupBy("key").agg(F.first("terms").alias("terms")))  # copies have the same
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -196,7 +204,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     terms = find(docs, id_col, text_col, **how)
     few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= _BROADCAST_TERMS
-    rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("key"), base_spans(text).alias("spans"))
+    rows = docs.select(F.col(id_col).alias("id"), _digest(text).alias("key"), base_spans(text).alias("spans"))
     out = rows.join(F.broadcast(terms) if few else terms, "key", "left")
     base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     more = F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<start:int,kind:int,end:int,remove:boolean>>)")), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
@@ -211,7 +219,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     terms = find(docs, id_col, text_col, **how)
     key, more, spans = fresh(docs, "__key", "__terms", "__spans")
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn(key, row_key(F.col(id_col), F.coalesce(text, F.lit(""))))
+    keyed = docs.withColumn(key, _digest(F.coalesce(text, F.lit(""))))
     few = (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= _BROADCAST_TERMS
     told = terms.select(F.col("key").alias(key), F.col("terms").alias(more))
     out = keyed.join(F.broadcast(told) if few else told, key, "left")
