@@ -21,10 +21,17 @@ QUERY_BATCH = 4096
 
 def token_ranges(chunks: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, token_start, token_end) from chunks (doc_id, chunk_id, char_start, char_end) and
-    tokens (doc_id, tok, start, end): the tokens with a width that lie wholly in the chunk, end exclusive."""
-    t = tokens.where(F.col("end") > F.col("start"))
-    inside = chunks.select("doc_id", "chunk_id", "char_start", "char_end").join(t, "doc_id").where((F.col("start") >= F.col("char_start")) & (F.col("end") <= F.col("char_end")))
-    return inside.groupBy("doc_id", "chunk_id").agg(F.min("tok").alias("token_start"), (F.max("tok") + 1).alias("token_end"))
+    tokens (doc_id, tok, start, end): the tokens with a width that lie wholly in the chunk, end exclusive.
+    Tokens are in the order of their places. Chunks and tokens of a document are sorted together, by start and
+    by end, so its cost is their sum and not their product; one shuffle serves both sorts and the result."""
+    t = tokens.where(F.col("end") > F.col("start")).select("doc_id", "tok", "start", "end", F.lit(0).alias("side"))
+    c = chunks.where("doc_id is not null and char_start is not null and char_end is not null")
+    c = c.select("doc_id", "chunk_id", F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.lit(1).alias("side"))
+    doc = W.partitionBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    low = F.min("tok").over(doc.orderBy(F.desc("start"), "side"))
+    high = F.max("tok").over(doc.orderBy("end", "side"))
+    inside = c.unionByName(t, allowMissingColumns=True).withColumns({"low": low, "high": high}).where("side = 1 and low <= high")
+    return inside.groupBy("doc_id", "chunk_id").agg(F.min("low").alias("token_start"), (F.max("high") + 1).alias("token_end"))
 
 
 def unmapped(chunks: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -123,6 +123,33 @@ def test_dense_edges(spark):
     assert one(spark, dense.unit(F.array(F.lit(0.0), F.lit(0.0)))) is None
 
 
+def test_token_ranges_equal_the_pairwise_count(spark):
+    import random
+
+    r, tokens, chunks = random.Random(9), [], []
+    for d in range(30):
+        at = 0
+        for n in range(r.randrange(0, 40)):
+            at += r.randrange(0, 3)
+            end = at + r.randrange(0, 4)  # some have no width
+            tokens.append((d, n, at, end))
+            at = end
+        for c in range(8):
+            a = r.randrange(0, at + 2)
+            chunks.append((d, f"{d}.{c}", a, a + r.randrange(0, 20)))
+    tokens += [(None, 0, 0, 3)]
+    chunks += [(None, "x", 0, 9), (1, "open", None, 9)]
+    t = spark.createDataFrame(tokens, "doc_id int, tok int, start int, end int")
+    c = spark.createDataFrame(chunks, "doc_id int, chunk_id string, char_start int, char_end int")
+    got = {(x.doc_id, x.chunk_id): (x.token_start, x.token_end) for x in dense.token_ranges(c, t).collect()}
+    want = {}
+    for d, cid, a, b in chunks:
+        inside = [n for e, n, s, f in tokens if d is not None and a is not None and e == d and f > s and s >= a and f <= b]
+        if inside:
+            want[d, cid] = (min(inside), max(inside) + 1)
+    assert got == want and len(want) > 100
+
+
 def test_pack_windows_equals_the_fold(spark):
     import random
 
