@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable
 from pathlib import PurePosixPath
@@ -120,12 +121,38 @@ class Pipeline:
     def review_table(self, earlier: DataFrame | None = None) -> DataFrame:
         return self.write("review", generation_metrics.review_rows(self.read("generation_per_answer"), earlier))
 
-    def summarise(self, reviewed: DataFrame) -> DataFrame:
+    def _report(self, name: str, rows: DataFrame, content) -> None:
+        """Beside the table: the rows as one CSV file, and content as JSON."""
+        writers.csv(rows.coalesce(1), self.path(f"{name}_csv"))
+        writers.text(self.spark, json.dumps(content, indent=2, ensure_ascii=False), self.path(f"{name}_json"))
+
+    def summarise(self, reviewed: DataFrame, expected: int | None = None) -> DataFrame:
+        """A row per arm, as a table, CSV and JSON. Invalid scores raise, and so do other than ``expected`` rows
+        of review."""
+        review.validate(reviewed)
+        _sized(reviewed, expected, "reviewed answers")
+        out = self.write("manual_summary", review.summary(reviewed))
+        self._report("manual_summary", out.orderBy("arm"), writers.rows_json(out, "arm"))
+        return out
+
+    def diagnose(self, reviewed: DataFrame, expected: int | None = None) -> DataFrame:
+        """A row per answerable question, as a table, CSV, JSON with the summary, and Markdown. Other than
+        ``expected`` such questions raise."""
         review.validate(reviewed)
-        return self.write("manual_summary", review.summary(reviewed))
+        rows = review.diagnostic(reviewed)
+        _sized(rows, expected, "answerable questions")
+        out = self.write("diagnostic", rows)
+        summary = review.diagnostic_summary(out).first().asDict()
+        summary["conclusion"] = review.conclusion(summary)
+        self._report("diagnostic", out.orderBy("question_id"), {"summary": summary, "questions": writers.rows_json(out, "question_id")})
+        writers.text(self.spark, review.markdown(out), self.path("diagnostic_markdown"))
+        return out
+
 
-    def diagnose(self, reviewed: DataFrame) -> DataFrame:
-        return self.write("diagnostic", review.diagnostic(reviewed))
+def _sized(rows: DataFrame, expected: int | None, what: str) -> None:
+    n = rows.count()
+    if n == 0 or expected not in (None, n):
+        raise ValueError(f"{n} {what}, not {'none' if expected is None else expected}")
 
 
 def missing_outputs(folder: str, names: tuple[str, ...]) -> list[str]:

@@ -111,6 +111,11 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
     return with_order(c, "__place").drop("__place")
 
 
+def chunks_by_id(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks with unique ids, for lookups: of repeated ones the last in the file stays."""
+    return preprocess.last_wins(chunks(spark, path), "chunk_id", F.col("ord"))
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
     return jsonl(spark, path, schemas.QUESTIONS, ("question_id", "question_text"), "question_id")
 

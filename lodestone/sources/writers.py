@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import retrieval_metrics, review
@@ -55,6 +55,16 @@ def metrics_json(evaluated: DataFrame, path: str) -> None:
         json.dump({"aggregate": retrieval_metrics.macro(evaluated).first().asDict(), "questions": questions}, f, indent=2, ensure_ascii=False)
 
 
+def text(spark: SparkSession, content: str, path: str) -> None:
+    """A report as a folder with one text file, on any store that Spark writes."""
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def rows_json(rows: DataFrame, *order: str) -> list[dict]:
+    """A report's few rows as objects, nulls kept."""
+    return [json.loads(r.j) for r in rows.orderBy(*order).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
+
+
 def diagnostic_report(rows: DataFrame, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write(review.markdown(rows))

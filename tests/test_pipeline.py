@@ -69,6 +69,15 @@ def test_from_archive_to_report(spark, tmp_path, capsys):
     r = p.review_table().toDF(*p.read("review").columns)
     scored = r.withColumns({c: __import__("pyspark").sql.functions.lit("2") for c in schemas.REVIEW_FIELDS[:3]})
     assert p.summarise(scored).count() == 3 and p.diagnose(scored).count() == 2
+    assert json.loads("\n".join(x.value for x in spark.read.text(p.path("manual_summary_json"), wholetext=True).collect()))[0]["arm"] == "naive"
+    told = json.loads(spark.read.text(p.path("diagnostic_json"), wholetext=True).first().value)
+    assert told["summary"]["questions"] == 2 == len(told["questions"]) and told["summary"]["conclusion"]
+    assert readers.review_csv(spark, p.path("diagnostic_csv")).count() == 2
+    assert spark.read.text(p.path("diagnostic_markdown"), wholetext=True).first().value.startswith("# No-Context")
+    with pytest.raises(ValueError, match="2 answerable questions, not 10"):
+        p.diagnose(scored, 10)
+    with pytest.raises(ValueError, match="0 reviewed"):
+        p.summarise(scored.limit(0))
     assert missing_outputs(str(tmp_path / "out"), ("docs", "chunks", "answers", "nothing")) == ["nothing"]
     assert "prose__b-side" in cli.show(p, "bm25", "pears", 1)
     assert len(STAGES) == 10
@@ -78,6 +87,10 @@ def test_strict_readers(spark, tmp_path):
     f = tmp_path / "d.jsonl"
     f.write_text('{"doc_id": "a", "text": "x"}\n\n{"doc_id": "a", "text": "y"}\n')
     assert [(r.doc_id, r.text) for r in readers.docs_by_id(spark, str(f)).collect()] == [("a", "y")]
+    c = tmp_path / "c.jsonl"
+    c.write_text("".join(json.dumps({"chunk_id": i, "doc_id": "a", "text": t}) + "\n" for i, t in (("1", "x"), ("2", "y"), ("1", "z"))))
+    assert readers.chunks(spark, str(c)).count() == 3
+    assert {r.chunk_id: r.text for r in readers.chunks_by_id(spark, str(c)).collect()} == {"1": "z", "2": "y"}
     for bad in ('{"doc_id": "a"}\n', "{broken\n", "\n"):
         f.write_text(bad)
         with pytest.raises(ValueError):
