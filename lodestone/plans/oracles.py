@@ -52,6 +52,13 @@ parts AS (SELECT doc_id, n, chars, unnest(generate_series(0, CASE WHEN n <= 500
 spans AS (SELECT doc_id, part, any_value(n) AS n_doc, CASE WHEN any_value(n) <= 500 THEN 0 ELSE min(s) END AS char_start, CASE WHEN any_value(n) <= 500 THEN any_value(chars) ELSE max(toks.e) END AS char_end, count(toks.tok) AS n_tokens
           FROM parts LEFT JOIN toks USING (doc_id) WHERE tok IS NULL OR (tok >= part * 400 AND tok < part * 400 + 500) GROUP BY doc_id, part)"""
 DOCS = "t AS (SELECT doc_id, text FROM documents)"
+#: Windows of at most 1,000 covered tokens, packed from the last chunk backwards, with 1,300 tokens of context.
+PACKED = """r AS (SELECT doc_id, part, doc_id || '#' || printf('%03d', part) AS cid, part * 400 AS ts, least(part * 400 + 500, n_doc) AS te FROM spans WHERE n_tokens > 0),
+ last_ AS (SELECT doc_id, max(part) AS part FROM r GROUP BY doc_id),
+ walk AS (SELECT doc_id, part, 0 AS win, te AS we, ts, cid FROM r JOIN last_ USING (doc_id, part)
+  UNION ALL SELECT r.doc_id, r.part, CASE WHEN walk.we - r.ts <= 1000 THEN win ELSE win + 1 END, CASE WHEN walk.we - r.ts <= 1000 THEN walk.we ELSE r.te END, r.ts, r.cid FROM walk JOIN r ON r.doc_id = walk.doc_id AND r.part = walk.part - 1),
+ g AS (SELECT doc_id, win, any_value(we) AS we, min(ts) AS ts, string_agg(cid, ',' ORDER BY part) AS owned, count(*) AS n FROM walk GROUP BY doc_id, win),
+packed AS (SELECT doc_id, max(win) OVER (PARTITION BY doc_id) - win AS window, owned, n, least(ts, greatest(0, we - 1300)) AS context_start, we AS window_end FROM g)"""
 
 MD = "md AS (SELECT page_id AS doc_id, " + TAGS.format(r"regexp_replace(regexp_replace(html, '<h1[^>]*>', chr(10) || '# ', 'g'), '<p[^>]*>', chr(10) || '## ', 'g')") + " AS text FROM pages)"
 HEAD = r"(?m)^(#{1,6})\s+(.+?)\s*$"
@@ -188,12 +195,19 @@ ORACLE_SQL = {
  p AS (SELECT v.doc_id, v.doc_id || c AS chunk_id, unnest(vec) AS x, unnest(generate_series(0, 63)) AS dim FROM sp JOIN v ON sp.doc_id = v.doc_id AND e > s AND s >= sp.x AND e <= y),
  a AS (SELECT doc_id, chunk_id, dim, avg(x::DOUBLE) AS x FROM p GROUP BY ALL) SELECT doc_id, chunk_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, chunk_id)), 6) AS x FROM a""",
     "token_ranges": f"""WITH {DOCS}, {PARTS} SELECT doc_id, doc_id || '#' || printf('%03d', part) AS chunk_id, min(tok) AS token_start, max(tok) + 1 AS token_end FROM spans JOIN toks USING (doc_id) WHERE toks.s >= char_start AND toks.e <= char_end GROUP BY doc_id, part""",
-    "pack_windows": f"""WITH RECURSIVE {DOCS}, {PARTS}, r AS (SELECT doc_id, part, doc_id || '#' || printf('%03d', part) AS cid, part * 400 AS ts, least(part * 400 + 500, n_doc) AS te FROM spans WHERE n_tokens > 0),
- last_ AS (SELECT doc_id, max(part) AS part FROM r GROUP BY doc_id),
- walk AS (SELECT doc_id, part, 0 AS win, te AS we, ts, cid FROM r JOIN last_ USING (doc_id, part)
-  UNION ALL SELECT r.doc_id, r.part, CASE WHEN walk.we - r.ts <= 1000 THEN win ELSE win + 1 END, CASE WHEN walk.we - r.ts <= 1000 THEN walk.we ELSE r.te END, r.ts, r.cid FROM walk JOIN r ON r.doc_id = walk.doc_id AND r.part = walk.part - 1),
- g AS (SELECT doc_id, win, any_value(we) AS we, min(ts) AS ts, string_agg(cid, ',' ORDER BY part) AS owned FROM walk GROUP BY doc_id, win)
- SELECT doc_id, max(win) OVER (PARTITION BY doc_id) - win AS window, owned, least(ts, greatest(0, we - 1300)) AS context_start, we AS window_end FROM g""",
+    "pack_windows": f'WITH RECURSIVE {DOCS}, {PARTS}, {PACKED} SELECT doc_id, "window", owned, context_start, window_end FROM packed',
+    "dense_windows": f"""WITH RECURSIVE {DOCS}, {PARTS}, {PACKED},
+ each_ AS (SELECT packed.doc_id, packed.n, context_start, window_end FROM packed JOIN n USING (doc_id) WHERE n.n > 1300 UNION ALL SELECT doc_id, count(*), 0, any_value(n_doc) FROM spans WHERE n_tokens > 0 AND n_doc <= 1300 GROUP BY doc_id)
+ SELECT doc_id, count(*) AS windows, min(context_start) AS first_start, max(window_end) AS last_end, sum(n)::BIGINT AS owned FROM each_ GROUP BY doc_id""",
+    "flat_names": r"""WITH p AS (SELECT page_id AS place, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*/|[?#].*$', '', 'g'), '/$', '') AS rel FROM pages),
+ b AS (SELECT place, rel, string_split(rel, '/')[-1] AS base, CASE WHEN contains(rel, '/') THEN string_split(rel, '/')[-2] ELSE 'root' END AS parent FROM p),
+ f AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY place) = 1 AS leads FROM b),
+ k AS (SELECT *, row_number() OVER (PARTITION BY base, parent, leads ORDER BY place) AS k FROM f)
+ SELECT place, rel, CASE WHEN leads THEN base WHEN k = 1 THEN parent || '__' || base ELSE parent || '_' || k || '__' || base END AS flat_name FROM k""",
+    "rag_run": rf"""WITH {BM25}, {BENCH}, {SCORED}, {RANKED}, top AS (SELECT * FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5)
+ SELECT query_id || '-naive' AS answer_id, query_id AS question_id, 'naive' AS mode, NULL AS retriever, 0 AS n_citations, NULL AS first_cited FROM q
+ UNION ALL SELECT query_id || '-rag-bm25', query_id, 'rag', 'bm25', count(*), max(CASE WHEN rank = 1 AND regexp_matches(text, '^[^
+]') THEN 'https://github.com/owner/corpus/blob/v1/' || source || '/' || doc_id || '.md' END) FROM top GROUP BY query_id""",
     "retrieval_metrics_bm25": f"WITH {BM25}, {BENCH}, {SCORED}, {RANKED}, {metrics('SELECT query_id, rank FROM ranked JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE contains(documents.text, q.text)')} SELECT query_id, n_gold, first_relevant_rank, {MROUND} FROM m",
     "gold_ranks_full_depth": f"WITH {BM25}, {BENCH}, {SCORED}, {RANKED} SELECT query_id, doc_id, rank FROM ranked JOIN q USING (query_id) JOIN documents USING (doc_id) WHERE contains(documents.text, q.text)",
     "retrieval_metrics_dense": f"WITH {DENSE_RANKED}, {metrics('SELECT query_id, rank FROM dranked WHERE label = qlabel')} SELECT query_id, n_gold, first_relevant_rank, {MROUND} FROM m",
