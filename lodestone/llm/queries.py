@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from lodestone.llm.common import table
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Pages with this many words ending in sign clutter are listed for op1.
 _CLUTTER = r"(?:\*\*\*|%%%|###|\$\$\$)"
+#: What both turns of conversation -1 say.
+_CONTROL = "</s>[INST] ok [/INST]"
 
 
 def tokenizer() -> tuple[str, str]:
@@ -67,9 +71,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    control = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_conversations(chat.as_events(turns.unionByName(extra))))
 
 
@@ -167,3 +170,11 @@ x AS (SELECT doc_id, s, e FROM tk JOIN tell ON lower(tok) = term WHERE NOT EXIST
 ba AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone, string_agg((['email', 'ip', 'card', 'phone'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS line FROM b GROUP BY doc_id),
 al AS (SELECT doc_id, count(*) FILTER (kind = 4) AS n_terms, string_agg((['email', 'ip', 'card', 'phone', 'term'])[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS line FROM (SELECT doc_id, kind, s, e FROM b UNION ALL SELECT doc_id, 4, s, e FROM x) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(ba.line, '')) AS base_sha256, coalesce(al.line, '') AS spans, coalesce(n_terms, 0) AS n_terms FROM d LEFT JOIN ba USING (doc_id) LEFT JOIN al USING (doc_id)"""
+
+# A segment is its marks, a line end, and the role and text with two characters for each escaped string.
+_ESCAPED = "|".join(map(re.escape, [chat.SIGN, *chat.CONTROLS]))
+_MARKS = len(chat.OPEN + chat.SPLIT + chat.END) + 1
+ORACLE_SQL["op10_chat_format"] = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{_CONTROL}'), (-1, 1, 'assistant', '{_CONTROL}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ sum({_MARKS} + length(regexp_replace(role, '{_ESCAPED}', 'xx', 'g')) + length(regexp_replace(text, '{_ESCAPED}', 'xx', 'g')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id"""

@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers as P
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -36,6 +37,24 @@ def test_tree_equals_one_piece(text, leaf, window):
 test_tree_equals_one_piece.coder = bpe.TreeBPE(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The leftmost of the lowest-ranked neighbours is merged until none has a rank."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=ALPHABET, max_size=120), st.integers(2, 20), st.integers(2, 9))
+def test_tree_equals_rank_merges(text, leaf, window):
+    c = test_tree_equals_one_piece.coder
+    c.leaf, c.window = leaf, window
+    ranks = {b: i for i, b in c.bytes_of.items()}
+    assert c.encode(text) == [i for m in regex.finditer(P.PATTERN, text) for i in merged(m[0].encode(), ranks)]
+
+
 def test_long_runs(coder):
     r = random.Random(3)
     coder.leaf, coder.window = 64, 16
