@@ -106,12 +106,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
 
     def meet(codes: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         table = MultiIndex(codes["code"].to_numpy(), segments)
-        known, least, out = codes["code"].to_numpy(), codes["least"].to_numpy(), []
-        for code in query["code"].to_numpy():
+        known, least, asked = codes["code"].to_numpy(), codes["least"].to_numpy(), query["code"].to_numpy()
+        picked, distances = [], []
+        for code in asked:
             at, d = table.search(int(code) & 0xFFFFFFFFFFFFFFFF, k + 1)
             order = np.lexsort((least[at], d))[: k + 1]
-            out.append(pd.DataFrame({"code": code, "near": known[at][order], "least": least[at][order], "distance": d[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"code": [], "near": [], "least": [], "distance": []}).astype("int64")
+            picked.append(at[order])
+            distances.append(d[order])
+        at = np.concatenate([np.empty(0, np.int64), *picked])
+        d = np.concatenate([np.empty(0, np.int64), *distances])
+        return pd.DataFrame({"code": np.repeat(asked, np.array([len(p) for p in picked], np.int64)), "near": known[at], "least": least[at], "distance": d})
 
     ship(rows.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
