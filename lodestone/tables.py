@@ -10,6 +10,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROW_GROUP = 32 << 20  # bytes that a task's writer and reader hold at a time
+
 
 def cut(df: DataFrame, scan: bool = False) -> DataFrame:
     """Cut the lineage: written as Parquet into spark.checkpoint.dir, which every executor can read, and
@@ -20,7 +22,7 @@ def cut(df: DataFrame, scan: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    (df if scan else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(folder)
+    (df if scan else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.option("parquet.block.size", _ROW_GROUP).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
