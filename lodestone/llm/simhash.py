@@ -169,13 +169,13 @@ def _through_neighbours(members: DataFrame, sets: list[tuple[int, ...]], radius:
 
 #: Words of the wide fingerprint, the bits of 256 in which a pair may differ, the positional bytes of 32 that it
 #: must share, the sets of so many positions by which it is looked up, and these sets' bits.
-_WIDE, _WIDE_RADIUS, _WIDE_SHARED = 4, 40, 4
+_WIDE, _WIDE_RADIUS, _WIDE_SHARED = 4, 56, 4
 _WIDE_SETS = [sorted(random.Random(k).sample(range(8 * _WIDE), _WIDE_SHARED)) for k in range(24)]
 _WIDE_BITS = np.array([[8 * p + b for p in s for b in range(8)] for s in _WIDE_SETS])
 
 
 def wide_links(classes: DataFrame, longest_list: int = 8) -> DataFrame:
-    """Candidates (a, b): fingerprints ``fp`` whose wide fingerprints are within 40 of 256 bits and that meet in a list.
+    """Candidates (a, b): fingerprints ``fp`` whose wide fingerprints are within 56 of 256 bits and that meet in a list.
 
     64 bits can't tell similarity 0.8: there they differ in about ten, and no positional byte need
     agree. Each posting is keyed by four positional bytes; the two of its bits that a change of the text would
