@@ -11,11 +11,16 @@ through the values next to them instead: each member points at all values half t
 members that point at the same value are joined to the smallest of them. That is exact as well
 (see ``_through_neighbours``) and linear in the list's length; a pair that shares such a list is joined by it,
 and any other pair has all its lists tallied.
+
+For near-duplicates by similarity, wide fingerprints are looked up in bounded lists, and an exact join of
+shingles (``similar_pairs``) finds the pairs that these lists leave out.
 """
 
 from __future__ import annotations
 
+import math
 import random
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +36,9 @@ from lodestone.shipping import ship
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BLOCK = 1 << 16  # shingles turned into bits at a time
 _BROADCAST_TEXTS = 50_000  # ids of texts to verify that are broadcast
+_SAMPLE, _COMMON = 8192, 1 << 16  # texts in which frequent shingles are counted, and how many of these are kept
+_LIST = 4096  # members of a list of shingles that one task compares with the others
+_NONE = np.empty(0, np.uint64), np.empty(0, np.int64)  # no shingle known as frequent
 #: The planes of the affine space of three bits: every three of the eight positions are in one of them.
 _BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 
@@ -40,31 +48,38 @@ def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
     return int(_packed(_margins(text, n, seed, 1))[0])
 
 
-def _margins(text: str | None, n: int, seed: int, size: int) -> np.ndarray:
-    """For each of 64 * size bits by how many more shingles have it set than not. The first 64 bits are those
-    of the shingles' XXH64, the others of mixes of it."""
+def _hashes(text: str | None, n: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 of the n-word shingles in blocks; none for a text without words."""
     words = (text or "").encode().translate(_TO_LOWER).split()  # bytes.split() cuts at ASCII white space
-    if not words:
-        return np.zeros(64 * size, np.int64)
-    total, ones = max(1, len(words) - n + 1), np.zeros(64 * size, np.int64)
-    for at in range(0, total, _BLOCK):
+    for at in range(0, max(1, len(words) - n + 1) if words else 0, _BLOCK):
         part = words[at : at + _BLOCK + n - 1]
-        count = max(1, len(part) - n + 1)
         shingles = map(b" ".join, zip(*(part[k:] for k in range(n)), strict=False)) if len(words) > n else [b" ".join(words)]
-        h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, count)
+        yield np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, max(1, len(part) - n + 1))
+
+
+def _margins(text: str | None, n: int, seed: int, size: int) -> np.ndarray:
+    """For each of 64 * size bits by how many more shingles have it set than not. The first 64 bits are those
+    of the shingles' XXH64, the others of mixes of it."""
+    return _tally(_hashes(text, n, seed), size)
+
+
+def _tally(blocks: Iterable[np.ndarray], size: int) -> np.ndarray:
+    total, ones = 0, np.zeros(64 * size, np.int64)
+    for h in blocks:
+        total += len(h)
         h = np.stack([h, *(_mix(h, k) for k in range(1, size))], axis=1)
-        ones += np.unpackbits(h.view(np.uint8).reshape(count, -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return 2 * ones - total
 
 
-def _shingle_set(text: str | None, n: int, seed: int = 42) -> np.ndarray:
-    """The distinct XXH64 of the n-word shingles, in order; none for a text without words."""
-    words = (text or "").encode().translate(_TO_LOWER).split()
-    if len(words) <= n:
-        shingles = [b" ".join(words)] if words else []
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64)).view(np.int64)
+def _distinct(blocks: Iterable[np.ndarray]) -> np.ndarray:
+    """The set of the blocks' shingles, in order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
+
+
+def _set_digest(shingles: np.ndarray) -> int:
+    """64 bits that stand for a shingle set, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
 
 
 def _packed(margins: np.ndarray) -> np.ndarray:
@@ -79,24 +94,30 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, wide: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, wide: bool = False, similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = _NONE) -> DataFrame:
     """(id, fp), the fingerprint as a signed long; if wide also (wide, weak): four words, and of each set in
-    ``_WIDE_SETS`` the two bits with the smallest margins. Null text counts as empty."""
+    ``_WIDE_SETS`` the two bits with the smallest margins, and (set, size, prefix): the digest and size of the
+    shingle set and its first shingles, see ``_prefix``. Null text counts as empty."""
     size = _WIDE if wide else 1
 
     def run(batches):
         for b in batches:
-            m = np.array([_margins(t.as_py(), n, 42, size) for t in b.column(1)], np.int64).reshape(-1, 64 * size)
+            blocks = [[*_hashes(t.as_py(), n)] for t in b.column(1)] if wide else (_hashes(t.as_py(), n) for t in b.column(1))
+            m = np.array([_tally(x, size) for x in blocks], np.int64).reshape(-1, 64 * size)
             w = np.packbits(m > 0, axis=1, bitorder="little").view(np.int64).reshape(-1, size)
             columns, names = [b.column(0), pa.array(np.ascontiguousarray(w[:, 0]))], ["id", "fp"]
             if wide:
+                sets = [_distinct(x) for x in blocks]
                 columns += [pa.array(list(w), pa.list_(pa.int64())), pa.array([_weakest(x) for x in m], pa.list_(pa.int32()))]
-                names += ["wide", "weak"]
+                columns += [pa.array([_set_digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
+                columns += [pa.array([_prefix(x, similarity, *common) for x in sets], pa.list_(pa.int64()))]
+                names += ["wide", "weak", "set", "size", "prefix"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long" + ", wide array<long>, weak array<int>" * wide)
+    more = ", wide array<long>, weak array<int>, set long, size int, prefix array<long>"
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long" + more * wide)
 
 
 def _weakest(margins: np.ndarray) -> np.ndarray:
@@ -183,8 +204,7 @@ def wide_links(classes: DataFrame, longest_list: int = 8) -> DataFrame:
     hash, are compared with each other, the rest of a longer list with the first one,
     so the candidates grow with the fingerprints and not with their pairs. Shared bytes are tallied, pairs
     below two go (of the key's four, the two turned bits may cost two), the rest are verified. Pairs of similarity
-    0.8 can be missed, in long lists or without a common one; a greater ``longest_list`` compares longer lists
-    whole, at the price of its square.
+    0.8 can be missed, in long lists or without a common one; ``similar_pairs`` finds those, whatever was missed here.
     """
     word = lambda c, p: F.get(c, F.lit(p // 8))
     byte = lambda c, p: F.shiftrightunsigned(word(c, p), 8 * (p % 8)).bitwiseAND(F.lit(0xFF))
@@ -206,31 +226,90 @@ def wide_links(classes: DataFrame, longest_list: int = 8) -> DataFrame:
     return both.where((shared >= _WIDE_SHARED - 2) & (sum(map(F.bit_count, differ), F.lit(0)) <= _WIDE_RADIUS)).select("a", "b")
 
 
+def _common_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """((hashes in order, counts), texts that each counted one stands for): shingles that stand in two or more of
+    some ``_SAMPLE`` texts, the ``_COMMON`` most frequent. They only put shingles in an order and spread long
+    lists: results don't depend on what was drawn."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct(_hashes(t.as_py(), n)).view(np.int64))], names=["key"])
+
+    ship(docs.sparkSession)
+    every = max(1, docs.count() // _SAMPLE)
+    drawn = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(every)) == 0).distinct()
+    counted = drawn.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = sorted((int(np.int64(r.key).view(np.uint64)), r.n) for r in counted.orderBy(F.desc("n"), "key").limit(_COMMON).collect())
+    return (np.array([k for k, _ in rows], np.uint64), np.array([c for _, c in rows], np.int64)), float(every)
+
+
+def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones (by ``common``) before frequent ones, then by hash: as many as make
+    sure that two sets of the ``similarity`` have one in common."""
+    if len(shingles) and len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        often = np.where(common[at] == shingles, counts[at], 0)
+        if often.any():
+            shingles = shingles[np.argsort(often, kind="stable")]
+    return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-6) + 1].view(np.int64)
+
+
+def similar_pairs(sets: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray] = _NONE, every: float = 1.0) -> DataFrame:
+    """Candidates (a, b): all pairs of different root whose sets may have the Jaccard ``similarity``; none is left out.
+
+    sets: (set, root, size, prefix), a row for each set. The shingles of all sets are in one order. If x and y share
+    o >= t / (1 + t) * (|x| + |y|), t being the similarity, their first common shingle stands at places i and j with
+    |x| - i >= o and |y| - j >= o. So it is in both prefixes, each of x and y is no larger than the other's place
+    allows (``most``), and the smaller one's place allows a partner of its own size at least: the others needn't be
+    looked up, they are found. That is a plain equi-join by shingle without a longest list. The members of a list
+    that the sample tells to be longer than ``_LIST`` are dealt to several tasks, each of which meets all that look up.
+    """
+    t = float(similarity)
+    rows = sets.select("set", "root", "size", F.posexplode("prefix").alias("at", "key"))
+    most = F.floor((F.col("size") - F.col("at")) * F.lit((1 + t) / t) + F.lit(1e-6)).cast("int") - F.col("size")
+    rows = rows.select("key", "set", "root", "size", most.alias("most"))
+    look, held, on = rows.where("most >= size"), rows, ["key"]
+    long = [(int(k.view(np.int64)), int(parts)) for k, parts in zip(common[0], -(-common[1] * every // _LIST)) if parts > 1]
+    if long:
+        parts = F.broadcast(sets.sparkSession.createDataFrame(long, "key long, parts int"))
+        each = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        look = look.join(parts, "key", "left").withColumn("part", F.explode(each)).drop("parts")
+        held = held.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        on = ["key", "part"]
+    x = look.select(*on, *(F.col(c).alias(f"{c}_x") for c in ("set", "root", "size", "most")))
+    fits = (F.col("size") >= F.col("size_x")) & (F.col("size") <= F.col("most_x")) & (F.col("size_x") <= F.col("most"))
+    once = (F.col("size") > F.col("size_x")) | (F.col("set") > F.col("set_x"))
+    pairs = x.join(held, on).where(fits & once & (F.col("root") != F.col("root_x")))
+    return pairs.select(F.least("set", "set_x").alias("a"), F.greatest("set", "set_x").alias("b")).distinct()
+
+
 def verified(edges: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The edges (a, b) between fingerprints whose texts have a Jaccard similarity of n-word shingles of at least
-    ``similarity``. texts: (fp, text), one row for each fingerprint that has an edge. Shingles are told apart
-    by 64-bit hashes."""
+    """The edges (a, b) between shingle sets, known by their digests, that have a Jaccard similarity of at least
+    ``similarity``. texts: (text), one or more for each set that has an edge. Shingles are told apart by 64-bit
+    hashes."""
 
     def run(batches):
         for b in batches:
-            sets = pa.array([_shingle_set(t.as_py(), n) for t in b.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["fp", "shingles"])
+            sets = [_distinct(_hashes(t.as_py(), n)) for t in b.column(0)]
+            digests = pa.array([_set_digest(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "shingles"])
 
     ship(texts.sparkSession)
-    sets = cut(texts.select("fp", "text").mapInArrow(run, "fp long, shingles array<long>"))
-    x, y = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    sets = cut(texts.select("text").mapInArrow(run, "set long, shingles array<long>").dropDuplicates(["set"]))
+    x, y = (sets.select(F.col("set").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     both = edges.join(x, "a").join(y, "b").select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
     return both.where(F.col("shared") + 1e-9 >= F.lit(float(similarity)) * (F.col("sizes") - F.col("shared"))).select("a", "b")
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(fp, text) of the fingerprints with an edge: the text of the class's smallest id."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    chosen = cut(classes.join(nodes, "fp", "left_semi").select("fp", "least"))
+    """(text) of the sets with an edge: the texts that have the smallest id of a set's documents."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    chosen = cut(classes.join(nodes, "set", "left_semi").select("least").distinct())
     few = chosen.count() <= _BROADCAST_TEXTS
     t = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return t.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("least"))).select("fp", "text").dropDuplicates(["fp"])
+    return t.join(F.broadcast(chosen) if few else chosen, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,25 +343,53 @@ def _state(e: DataFrame) -> tuple:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, longest_list: int = 64, wide: bool = False, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: (id, fp, component_id).
 
-    Fingerprints within ``radius`` bits are linked. If ``wide``, those of ``wide_links`` are candidates as well,
-    and of all candidates those are linked whose texts are verified to have the shingle ``similarity``; ids
-    then tell texts apart, and only equal fingerprints are taken for copies unread. component_id is the
+    Fingerprints within ``radius`` bits are linked. If ``wide``, texts are linked whose sets of shingles have the
+    Jaccard ``similarity``, all of them (see ``_similar``), and copies are texts of the same set. component_id is the
     smallest id that is reachable. Empty and null texts have fingerprint 0 and are linked like any
     other. Rows repeat as they do in docs; null ids stay and are ignored by the minimum (null if a component
     has no other). An empty table gives an empty result. Other columns of docs are not read.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, n, wide), scan=True)
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))  # copies meet here, after a partial minimum
-    edges = links(classes.select("fp"), radius, longest_list)
+    node = "set" if wide else "fp"
+    if wide:
+        common, every = _common_shingles(docs, text_col, n)
+        fps = cut(fingerprints(docs, id_col, text_col, n, wide, similarity, common), scan=True)
+    else:
+        fps = cut(fingerprints(docs, id_col, text_col, n), scan=True)
+    classes = fps.groupBy(node).agg(F.min("id").alias("least"))  # copies meet here, after a partial minimum
     if wide:
         classes = cut(classes)
-        one = cut(fps.groupBy("fp").agg(F.min(F.struct("wide", "weak")).alias("w")).select("fp", "w.wide", "w.weak"))
-        edges = cut(edges.unionByName(wide_links(one)).distinct())
-        edges = verified(edges, _texts_of(docs, classes, edges, id_col, text_col), n, similarity)
-    roots = components(edges)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        roots = _similar(docs, fps, classes, id_col, text_col, n, radius, longest_list, similarity, common, every)
+    else:
+        roots = components(links(classes.select("fp"), radius, longest_list))
+    rooted = classes.join(roots, F.col(node) == F.col("node"), "left").select(node, "least", F.coalesce("root", node).alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return fps.join(rooted.join(named, "root").select(node, "component_id"), node).select("id", "fp", "component_id")
+
+
+def _similar(docs: DataFrame, fps: DataFrame, classes: DataFrame, id_col: str, text_col: str, n: int, radius: int, longest_list: int, similarity: float, common: tuple[np.ndarray, np.ndarray], every: float) -> DataFrame:
+    """(node, root) of the shingle sets, linked by their similarity.
+
+    Candidates come from the fingerprints first: those within the radius, those of ``wide_links`` and the sets of
+    one fingerprint. They make most components, and at a cost that grows with the sets and not with their pairs.
+    What these lists don't show or cut off is found by ``similar_pairs`` between different components, so that no
+    pair of the similarity is left unlinked. Every candidate is verified.
+    """
+    one = cut(fps.groupBy("set").agg(F.min(F.struct("fp", "wide", "weak", "size", "prefix")).alias("w")).select("set", "w.*"))
+    of = one.groupBy("fp").agg(F.min("set").alias("set"), F.min(F.struct("wide", "weak")).alias("w"))
+    of = cut(of.select("fp", "set", "w.wide", "w.weak"))
+    close = links(of.select("fp"), radius, longest_list).unionByName(wide_links(of.select("fp", "wide", "weak"))).distinct()
+    x, y = (of.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    edges = close.join(x, "a").join(y, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    same = one.join(of.select("fp", F.col("set").alias("first")), "fp").where("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    edges = cut(edges.unionByName(same))
+    edges = cut(verified(edges, _texts_of(docs, classes, edges, id_col, text_col), n, similarity))
+    roots = cut(components(edges))
+    sets = one.join(roots, one.set == roots.node, "left").select("set", F.coalesce("root", "set").alias("root"), "size", "prefix")
+    rest = cut(similar_pairs(sets, similarity, common, every))
+    if rest.isEmpty():
+        return roots
+    rest = cut(verified(rest, _texts_of(docs, classes, rest, id_col, text_col), n, similarity))
+    return roots if rest.isEmpty() else components(edges.unionByName(rest))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, radius: int = 3, wide: bool = True) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm import simhash
@@ -111,3 +113,52 @@ def test_shared_boilerplate_is_no_near_duplicate(spark):
     docs = spark.createDataFrame(rows + [(1000, twin)], "doc_id long, text string")
     kept = {x.doc_id for x in simhash.keep_one(docs).collect()}
     assert kept == set(range(400))
+
+
+def _exact_pairs(sets, similarity=0.8):
+    return {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) + 1e-9 >= similarity * len(sets[i] | sets[j])}
+
+
+def test_similar_pairs_leave_none_out(spark, monkeypatch):
+    """Many sets share each shingle, sizes differ, and lists are dealt to several tasks or not."""
+    r = random.Random(13)
+    sets = []
+    for _ in range(12):
+        base = r.sample(range(300), r.randrange(5, 60))
+        for _ in range(25):
+            s = set(base) - set(r.sample(base, r.randrange(1 + len(base) // 5))) | set(r.sample(range(300), r.randrange(4)))
+            sets.append(frozenset(s))
+    sets = sorted(set(sets), key=sorted) + [frozenset()]
+    want = _exact_pairs(sets[:-1])
+    counts = Counter(h for s in sets for h in s)
+    common = np.array(sorted(counts), np.uint64), np.array([counts[h] for h in sorted(counts)], np.int64)
+    for known, longest in ((simhash._NONE, 4096), (common, 4096), (common, 7)):
+        monkeypatch.setattr(simhash, "_LIST", longest)
+        rows = [(i, i, len(s), simhash._prefix(np.array(sorted(s), np.uint64), 0.8, *known).tolist()) for i, s in enumerate(sets)]
+        got = [(x.a, x.b) for x in simhash.similar_pairs(spark.createDataFrame(rows, "set long, root long, size int, prefix array<long>"), 0.8, known).collect()]
+        assert want <= set(got) and len(got) == len(set(got))
+        rooted = spark.createDataFrame([(i, 0, n, p) for i, _, n, p in rows], "set long, root long, size int, prefix array<long>")
+        assert simhash.similar_pairs(rooted, 0.8, known).count() == 0  # what is linked already isn't met again
+
+
+def test_no_pair_of_the_similarity_is_lost(spark):
+    """Every list of a shared passage is longer than the longest one, and similarities start right at 0.8."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, rows = [word() for _ in range(150)], []
+    for i in range(120):
+        words = passage + [word() for _ in range(150)]
+        other = list(words)
+        for at in r.sample(range(4, 296), 6):
+            other[at] = "edited"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    rows += [(1000 + i, "x " * 300 + " ".join(word() for _ in range(30))) for i in range(2)]  # one fingerprint, two texts
+    sets = [frozenset(simhash._distinct(simhash._hashes(t, 5)).tolist()) for _, t in rows]
+    pairs = _exact_pairs(sets)
+    root = brute.roots(len(rows), sorted(pairs))
+    least = {}
+    for (i, _), x in zip(rows, root):
+        least[x] = min(least.get(x, i), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.id: x.component_id for x in simhash.near_duplicates(docs, n=5, radius=3, wide=True).collect()}
+    assert len(pairs) > 50 and found == {i: least[x] for (i, _), x in zip(rows, root)}
