@@ -13,6 +13,8 @@ spread over all tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,7 @@ _SYMBOLS = "#*$%&|<>"
 
 
 def words(text: Column) -> Column:
-    body = F.regexp_replace(text, rf"^{GAP}|{GAP}\z", "")
-    return F.when(body == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(body, GAP, -1))
+    return F.array_remove(F.split(text, GAP, -1), "")  # the text is read once; trimming first would be two more passes
 
 
 def repeated_words(w: str) -> Column:
@@ -58,35 +59,40 @@ def text_counts(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
     return t.select(
         *names,
         F.size("__w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("__t", GAP, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        (F.size(F.split("__t", f"[{_SYMBOLS}]", -1)) - 1).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words("__w").cast("long").alias("n_repeat_words"),
     )
 
 
 def normalised(line: Column) -> Column:
-    """A-Z lower-cased, digits as 0, white space squeezed."""
-    return F.regexp_replace(F.regexp_replace(F.translate(line, UPPER + "123456789", LOWER + "000000000"), GAP, " "), r"^ | \z", "")
+    """A-Z lower-cased, digits as 0, white space squeezed. Translating goes by a map of strings, character by
+    character, so ASCII lines are lower-cased natively; and few lines have anything to squeeze."""
+    ascii_only = F.octet_length(line) == F.length(line)
+    low = F.when(ascii_only, F.regexp_replace(F.lower(line), "[1-9]", "0")).otherwise(F.translate(line, UPPER + "123456789", LOWER + "000000000"))
+    gaps = reduce(Column.__or__, (F.contains(line, F.lit(g)) for g in ("  ", "\t", "\n", "\v", "\f", "\r")))
+    return F.trim(F.when(gaps, F.regexp_replace(low, GAP, " ")).otherwise(low))
 
 
-def line_hash(line: Column) -> Column:
-    """The first 60 bits of the MD5 of the normalised line."""
-    return F.conv(F.substring(F.md5(normalised(line)), 1, 15), 16, 10).cast("long")
+def line_hash(normal: Column) -> Column:
+    """The first 60 bits of the MD5 of a normalised line."""
+    return F.conv(F.substring(F.md5(normal), 1, 15), 16, 10).cast("long")
 
 
-def document_digest(text: Column) -> Column:
-    """128 bits of the whole normalised text, white space of all kinds (line ends too) squeezed."""
-    return F.unhex(F.md5(normalised(text)))
+def document_digest(lines: Column) -> Column:
+    """128 bits of the whole normalised text, from its normalised lines with a word: white space of all kinds (line
+    ends too) counts as one blank."""
+    return F.unhex(F.md5(F.array_join(lines, " ")))
 
 
 def _lines(docs: DataFrame, text: Column, host: Column) -> DataFrame:
     """(host, doc, hash): the distinct lines with a word of each row."""
     text = F.coalesce(text, F.lit(""))
-    held = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    own = F.array_distinct(F.transform(held, line_hash))
-    # the digest in a projection of its own: beside the explode it would be made for each line
-    rows = docs.select(host.alias("host"), document_digest(text).alias("doc"), own.alias("own"))
+    held = F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda x: x != "")
+    # lines and digest in projections of their own: beside the explode they would be made for each line
+    rows = docs.select(host.alias("host"), held.alias("held"))
+    rows = rows.select("host", document_digest(F.col("held")).alias("doc"), F.array_distinct(F.transform("held", line_hash)).alias("own"))
     return rows.select("host", "doc", F.explode("own").alias("hash"))
 
 
@@ -137,11 +143,16 @@ def _judged(docs: DataFrame, text: Column, host: Column, keep: list[Column], lea
     return out.withColumns({"base_failed": failed, "kept": ~failed & ~depleted})
 
 
+def _hash_or_null(line: Column) -> Column:
+    """The hash of a line with a word, null for others."""
+    return F.when(line.rlike(r"[^\x20\x09-\x0D]"), line_hash(normalised(line)))
+
+
 def _flag_within_rows(whole: DataFrame, per_host: DataFrame) -> DataFrame:
     per = per_host.select(F.col("host").alias("__host"), F.col("over").alias("__over"))
     whole = whole.join(per, F.col("__of").eqNullSafe(F.col("__host")), "left").drop("__of", "__host")
     # hosts without frequent lines keep all of theirs unread
-    hashes = F.transform(F.split(F.coalesce("__text", F.lit("")), "\n", -1), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), line_hash(x)))
+    hashes = F.transform(F.split(F.coalesce("__text", F.lit("")), "\n", -1), _hash_or_null)
     gone = F.transform(hashes, lambda h: F.coalesce(F.array_contains(F.get(F.col("__over"), F.pmod(h, F.size("__over")).cast("int")), h), F.lit(False)))
     return whole.withColumn("__gone", F.when(F.col("__over").isNotNull(), gone)).drop("__over")
 
@@ -152,7 +163,7 @@ def _flag_by_join(whole: DataFrame, frequent: DataFrame) -> DataFrame:
     key = F.unhex(F.md5(F.concat(F.when(F.col("__of").isNull(), "0").otherwise(F.concat(F.lit("1"), F.md5("__of"))), F.coalesce("__text", F.lit("")))))
     keyed = whole.withColumn("__key", key)
     held = keyed.select("__key", F.col("__of").alias("__host"), F.posexplode(F.split(F.coalesce("__text", F.lit("")), "\n", -1)).alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    held = held.select("__key", "__host", "at", line_hash(F.col("line")).alias("__hash"))
+    held = held.select("__key", "__host", "at", line_hash(normalised(F.col("line"))).alias("__hash"))
     over = held.join(frequent.select("host", "hash"), (F.col("__hash") == F.col("hash")) & F.col("__host").eqNullSafe(F.col("host")), "left_semi")
     removed = cut(over.groupBy("__key").agg(F.collect_set("at").alias("__at")))
     out = keyed.join(removed, "__key", "left")

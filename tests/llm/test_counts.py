@@ -1,5 +1,6 @@
 """PII, quality rules, mixing."""
 
+import hashlib
 import random
 
 import pytest
@@ -206,3 +207,22 @@ def test_ways_beyond_the_broadcasts(spark, sf, monkeypatch):
     monkeypatch.setattr(quality, "_BROADCAST_LINES", -1)
     monkeypatch.setattr(pii, "_BROADCAST_TERMS", -1)
     assert [rows(f(docs)) for f in stages] == near
+
+
+def test_counts_and_lines_read_texts_without_passes_to_spare(spark):
+    """Whole texts are neither rewritten by regular expressions nor, if ASCII, translated; results are as before."""
+    odd = ["", " ", "\n\n a \n", "a\tb  c\r\nÉ A1\x0b9 \n\x85x  y", "  #$%&|<>* 12", "Ä  B\nA b\x0c", "İI\nΣΑΣ 1\n1", "Plain line 19\nplain  LINE 28\n", None]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    counts = quality.text_counts(docs, F.col("text"), [F.col("doc_id")])
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "regexp_replace(" not in plan
+    for r in counts.collect():
+        n, chars, symbols, dup, rep = brute.quality_counts(odd[r.doc_id] or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
+    zero = str.maketrans("123456789", "0" * 9)
+    plain = lambda t: " ".join(brute.words(brute.ascii_lower(t.translate(zero))))
+    got = docs.select("doc_id", quality.normalised(F.col("text")).alias("x")).collect()
+    assert all(r.x == (plain(odd[r.doc_id]) if odd[r.doc_id] is not None else None) for r in got)
+    lines = {(r.doc, r.hash) for r in quality._lines(docs, F.col("text"), F.lit("h")).collect()}
+    digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert lines == {(bytes.fromhex(digest(plain(t))), int(digest(plain(x))[:15], 16)) for t in odd if t for x in t.split("\n") if brute.words(x)}
