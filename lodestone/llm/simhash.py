@@ -37,6 +37,7 @@ _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _BLOCK = 1 << 16  # shingles turned into bits at a time
 _BROADCAST_TEXTS = 50_000  # ids of texts to verify that are broadcast
 _SAMPLE, _COMMON = 8192, 1 << 16  # texts in which frequent shingles are counted, and how many of these are kept
+_ROWS = 512  # texts of a batch that a Python worker has shingled at a time
 _LIST = 4096  # members of a list of shingles that one task compares with the others
 _NONE = np.empty(0, np.uint64), np.empty(0, np.int64)  # no shingle known as frequent
 #: The planes of the affine space of three bits: every three of the eight positions are in one of them.
@@ -94,6 +95,11 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``_ROWS`` rows."""
+    return (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, wide: bool = False, similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = _NONE) -> DataFrame:
     """(id, fp), the fingerprint as a signed long; if wide also (wide, weak): four words, and of each set in
     ``_WIDE_SETS`` the two bits with the smallest margins, and (set, size, prefix): the digest and size of the
@@ -101,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = _WIDE if wide else 1
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             blocks = [[*_hashes(t.as_py(), n)] for t in b.column(1)] if wide else (_hashes(t.as_py(), n) for t in b.column(1))
             m = np.array([_tally(x, size) for x in blocks], np.int64).reshape(-1, 64 * size)
             w = np.packbits(m > 0, axis=1, bitorder="little").view(np.int64).reshape(-1, size)
@@ -284,13 +290,32 @@ def similar_pairs(sets: DataFrame, similarity: float, common: tuple[np.ndarray,
     return pairs.select(F.least("set", "set_x").alias("a"), F.greatest("set", "set_x").alias("b")).distinct()
 
 
+def overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of candidates (a, b) those whose prefixes allow the ``similarity``; no pair that has it goes.
+
+    Of x and y, take the one whose prefix ends first in the common order. What x and y share and has its place up to
+    there is in both prefixes, and the rest is in what follows that prefix. So they share at most what the
+    prefixes share and the longer of the two remainders. Prefixes are a fifth of the shingles at 0.8, texts
+    needn't be read, and few pairs that only have some passage in common are left.
+    """
+    t = float(similarity)
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
+    few = nodes.count() <= _BROADCAST_TEXTS
+    some = sets.join(F.broadcast(nodes) if few else nodes, "set", "left_semi").select("set", "size", "prefix")
+    x, y = (some.select(F.col("set").alias(c), F.col("size").alias(f"size_{c}"), F.col("prefix").alias(f"prefix_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    rest = F.greatest(*(F.col(f"size_{c}") - F.size(f"prefix_{c}") for c in "ab"))
+    enough = shared + rest + F.lit(1e-6) >= F.lit(t / (1 + t)) * (F.col("size_a") + F.col("size_b"))
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
+
+
 def verified(edges: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """The edges (a, b) between shingle sets, known by their digests, that have a Jaccard similarity of at least
     ``similarity``. texts: (text), one or more for each set that has an edge. Shingles are told apart by 64-bit
     hashes."""
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             sets = [_distinct(_hashes(t.as_py(), n)) for t in b.column(0)]
             digests = pa.array([_set_digest(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set", "shingles"])
@@ -372,7 +397,7 @@ def _similar(docs: DataFrame, fps: DataFrame, classes: DataFrame, id_col: str, t
     Candidates come from the fingerprints first: those within the radius, those of ``wide_links`` and the sets of
     one fingerprint. They make most components, and at a cost that grows with the sets and not with their pairs.
     What these lists don't show or cut off is found by ``similar_pairs`` between different components, so that no
-    pair of the similarity is left unlinked. Every candidate is verified.
+    pair of the similarity is left unlinked. Every candidate is verified, those of ``similar_pairs`` by their prefixes first.
     """
     one = cut(fps.groupBy("set").agg(F.min(F.struct("fp", "wide", "weak", "size", "prefix")).alias("w")).select("set", "w.*"))
     of = one.groupBy("fp").agg(F.min("set").alias("set"), F.min(F.struct("wide", "weak")).alias("w"))
@@ -386,6 +411,9 @@ def _similar(docs: DataFrame, fps: DataFrame, classes: DataFrame, id_col: str, t
     roots = cut(components(edges))
     sets = one.join(roots, one.set == roots.node, "left").select("set", F.coalesce("root", "set").alias("root"), "size", "prefix")
     rest = cut(similar_pairs(sets, similarity, common, every))
+    if rest.isEmpty():
+        return roots
+    rest = cut(overlapping(rest, sets, similarity))
     if rest.isEmpty():
         return roots
     rest = cut(verified(rest, _texts_of(docs, classes, rest, id_col, text_col), n, similarity))

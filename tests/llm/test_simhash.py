@@ -162,3 +162,24 @@ def test_no_pair_of_the_similarity_is_lost(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {x.id: x.component_id for x in simhash.near_duplicates(docs, n=5, radius=3, wide=True).collect()}
     assert len(pairs) > 50 and found == {i: least[x] for (i, _), x in zip(rows, root)}
+
+
+def test_overlapping_keeps_similar_pairs_and_few_others(spark):
+    """Sets of one passage meet in a rare shingle or two; that is too little of their prefixes."""
+    r = random.Random(15)
+    passage, sets = r.sample(range(10**6, 2 * 10**6), 25), []
+    for _ in range(40):
+        base = passage + r.sample(range(10**6), r.randrange(80, 140))
+        other = set(base) - set(r.sample(base, len(base) // 12)) | set(r.sample(range(10**6), r.randrange(4)))
+        sets += [frozenset(base), frozenset(other)]
+    order = {h: k for k, h in enumerate(r.sample(sorted(set().union(*sets)), len(set().union(*sets))))}
+    sets = sorted({frozenset(order[h] for h in s) for s in sets}, key=sorted)
+    counts = Counter(h for s in sets for h in s if h % 9 == 0)  # most frequent ones are unknown
+    common = np.array(sorted(counts), np.uint64), np.array([counts[h] for h in sorted(counts)], np.int64)
+    want = _exact_pairs(sets)
+    rows = [(i, i, len(s), simhash._prefix(np.array(sorted(s), np.uint64), 0.8, *common).tolist()) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "set long, root long, size int, prefix array<long>")
+    met = simhash.similar_pairs(frame, 0.8, common)
+    left = {(x.a, x.b) for x in simhash.overlapping(met, frame, 0.8).collect()}
+    assert len(want) > 20 and want <= left
+    assert met.count() > 3 * len(left)
