@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -182,7 +182,7 @@ def _through_neighbours(members: DataFrame, sets: list[tuple[int, ...]], radius:
                 for c in combinations(bits, size):
                     m = sum(1 << b for b in c)
                     rows.append((i, m - (1 << 64) if m >> 63 else m))
-        return F.broadcast(spark.createDataFrame(rows, "set int, flip long"))
+        return F.broadcast(_small(spark, rows, set=pa.int32(), flip=pa.int64()))
 
     value = F.col("fp").bitwiseXOR(F.col("flip"))
     pointing = members.join(flips(near), "set").select("fp", value.alias("x"))
@@ -194,6 +194,12 @@ def _through_neighbours(members: DataFrame, sets: list[tuple[int, ...]], radius:
     return joined.select(a.alias("a"), b.alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _small(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A table of the driver's rows. As an Arrow table: a list would be read by Python workers, which then stay
+    in the executors' memory."""
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=[*types]))
+
+
 #: Words of the wide fingerprint, the bits of 256 in which a pair may differ, the positional bytes of 32 that it
 #: must share, the sets of so many positions by which it is looked up, and these sets' bits.
 _WIDE, _WIDE_RADIUS, _WIDE_SHARED = 4, 56, 4
@@ -278,7 +284,7 @@ def similar_pairs(sets: DataFrame, similarity: float, common: tuple[np.ndarray,
     look, held, on = rows.where("most >= size"), rows, ["key"]
     long = [(int(k.view(np.int64)), int(parts)) for k, parts in zip(common[0], -(-common[1] * every // _LIST)) if parts > 1]
     if long:
-        parts = F.broadcast(sets.sparkSession.createDataFrame(long, "key long, parts int"))
+        parts = F.broadcast(_small(sets.sparkSession, long, key=pa.int64(), parts=pa.int32()))
         each = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
         look = look.join(parts, "key", "left").withColumn("part", F.explode(each)).drop("parts")
         held = held.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("set"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
@@ -379,7 +385,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         common, every = _common_shingles(docs, text_col, n)
         fps = cut(fingerprints(docs, id_col, text_col, n, wide, similarity, common), scan=True)
     else:
-        fps = cut(fingerprints(docs, id_col, text_col, n), scan=True)
+        # bounded, since each file that is written forks the executor for a moment (its mode is set by a command)
+        fps = cut(fingerprints(docs, id_col, text_col, n).coalesce(8 * docs.sparkSession.sparkContext.defaultParallelism), scan=True)
     classes = fps.groupBy(node).agg(F.min("id").alias("least"))  # copies meet here, after a partial minimum
     if wide:
         classes = cut(classes)

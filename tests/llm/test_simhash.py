@@ -2,9 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.llm import simhash
+from lodestone.llm import queries, simhash
 
 from . import brute
 
@@ -183,3 +184,37 @@ def test_overlapping_keeps_similar_pairs_and_few_others(spark):
     left = {(x.a, x.b) for x in simhash.overlapping(met, frame, 0.8).collect()}
     assert len(want) > 20 and want <= left
     assert met.count() > 3 * len(left)
+
+
+def test_workers_hold_few_texts_at_a_time():
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["id"]) for n in (1200, 0, 3)]
+    parts = list(simhash._parts(batches))
+    assert max(p.num_rows for p in parts) <= 512
+    assert [i for p in parts for i in p.column(0).to_pylist()] == [*range(1200), *range(3)]
+
+
+def test_small_tables_need_no_python_worker(spark):
+    rows = [(1, -(1 << 63)), (2, 5)]
+    df = simhash._small(spark, rows, set=pa.int32(), flip=pa.int64())
+    assert df.dtypes == [("set", "int"), ("flip", "bigint")] and [tuple(r) for r in df.collect()] == rows
+    assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_few_files_whatever_the_partitions(spark, sf, tmp_path, monkeypatch):
+    """A file that is written forks the executor, whose memory then counts twice for a moment."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(60).write.parquet(f"{tmp_path}/documents.parquet")
+    made, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, **k: made.append(cut(df, **k)) or made[-1])
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.openCostInBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(was, ("50", "1g", "false"), strict=True):
+            spark.conf.set(k, v)
+        out = queries.op9_simhash(spark, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(list((tmp_path / "out").glob("*.parquet"))) <= 2 * cores
+    assert len(made[0].inputFiles()) <= 8 * cores
