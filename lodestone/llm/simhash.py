@@ -39,6 +39,7 @@ _BROADCAST_TEXTS = 50_000  # ids of texts to verify that are broadcast
 _SAMPLE, _COMMON = 8192, 1 << 16  # texts in which frequent shingles are counted, and how many of these are kept
 _ROWS = 512  # texts of a batch that a Python worker has shingled at a time
 _LIST = 4096  # members of a list of shingles that one task compares with the others
+_PART = 1 << 21  # shingles that are counted at a time, whatever the table's size
 _NONE = np.empty(0, np.uint64), np.empty(0, np.int64)  # no shingle known as frequent
 #: The planes of the affine space of three bits: every three of the eight positions are in one of them.
 _BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
@@ -102,8 +103,8 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, wide: bool = False, similarity: float = 0.8, common: tuple[np.ndarray, np.ndarray] = _NONE) -> DataFrame:
     """(id, fp), the fingerprint as a signed long; if wide also (wide, weak): four words, and of each set in
-    ``_WIDE_SETS`` the two bits with the smallest margins, and (set, size, prefix): the digest and size of the
-    shingle set and its first shingles, see ``_prefix``. Null text counts as empty."""
+    ``_WIDE_SETS`` the two bits with the smallest margins, and (set, size, known, tail): the digest and size of the
+    shingle set, how many of its shingles are ``common``, and the rarest of these. Null text counts as empty."""
     size = _WIDE if wide else 1
 
     def run(batches):
@@ -116,13 +117,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sets = [_distinct(x) for x in blocks]
                 columns += [pa.array(list(w), pa.list_(pa.int64())), pa.array([_weakest(x) for x in m], pa.list_(pa.int32()))]
                 columns += [pa.array([_set_digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
-                columns += [pa.array([_prefix(x, similarity, *common) for x in sets], pa.list_(pa.int64()))]
-                names += ["wide", "weak", "set", "size", "prefix"]
+                known = [_ordered(x[_among(x, common[0])], *common) for x in sets]
+                columns += [pa.array([len(x) for x in known], pa.int32()), pa.array([x[: _length(len(y), similarity)].view(np.int64) for x, y in zip(known, sets)], pa.list_(pa.int64()))]
+                names += ["wide", "weak", "set", "size", "known", "tail"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    more = ", wide array<long>, weak array<int>, set long, size int, prefix array<long>"
+    more = ", wide array<long>, weak array<int>, set long, size int, known int, tail array<long>"
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long" + more * wide)
 
 
@@ -240,7 +242,7 @@ def wide_links(classes: DataFrame, longest_list: int = 8) -> DataFrame:
 
 def _common_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
     """((hashes in order, counts), texts that each counted one stands for): shingles that stand in two or more of
-    some ``_SAMPLE`` texts, the ``_COMMON`` most frequent. They only put shingles in an order and spread long
+    some ``_SAMPLE`` texts, the ``_COMMON`` most frequent. They come last in the order, uncounted, and spread long
     lists: results don't depend on what was drawn."""
 
     def run(batches):
@@ -256,21 +258,90 @@ def _common_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[tuple[np.n
     return (np.array([k for k, _ in rows], np.uint64), np.array([c for _, c in rows], np.int64)), float(every)
 
 
-def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, rare ones (by ``common``) before frequent ones, then by hash: as many as make
-    sure that two sets of the ``similarity`` have one in common."""
+def _among(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of the shingles are in ``common``."""
+    return common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(len(shingles), bool)
+
+
+def _ordered(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rare shingles (by ``common``) before frequent ones, then by hash, as they come."""
     if len(shingles) and len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        often = np.where(common[at] == shingles, counts[at], 0)
+        often = np.where(_among(shingles, common), counts[np.minimum(np.searchsorted(common, shingles), len(common) - 1)], 0)
         if often.any():
-            shingles = shingles[np.argsort(often, kind="stable")]
-    return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-6) + 1].view(np.int64)
+            return shingles[np.argsort(often, kind="stable")]
+    return shingles
+
+
+def _length(size: int, similarity: float) -> int:
+    """How many first shingles, in an order of all, make sure that two sets of the ``similarity`` have one in common."""
+    return size - math.ceil(similarity * size - 1e-6) + 1
+
+
+def _prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones (by ``common``) before frequent ones, then by hash."""
+    return _ordered(shingles, common, counts)[: _length(len(shingles), similarity)].view(np.int64)
+
+
+def _shared(docs: DataFrame, text_col: str, n: int, shingles: int, common: np.ndarray) -> DataFrame:
+    """(set, key, n): the shingles that stand in n >= 2 different sets, ``common`` ones left out, a row for each set.
+
+    The count is exact and has no table of all shingles in any one place: hashes are dealt by their range to as many
+    parts as keep a part at about ``_PART`` of the ``shingles`` that there are, and travel packed. Copies count
+    once for each batch of texts on the way and once in the end.
+    """
+    parts = max(1, -(-shingles // _PART))
+
+    def deal(batches):
+        for b in _parts(batches):
+            sets = {_set_digest(x): x for x in (_distinct(_hashes(t.as_py(), n)) for t in b.column(0))}
+            rare = [x[~_among(x, common)] for x in sets.values()]
+            keys = np.concatenate([_NONE[0], *rare])
+            owner = np.repeat(np.arange(len(rare), dtype=np.uint16), [len(x) for x in rare])
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            at = np.argsort(part, kind="stable")
+            keys, owner, ends = keys[at], owner[at], np.searchsorted(part[at], np.arange(parts + 1))
+            digests = np.array([*sets], np.int64).tobytes()
+            full = [k for k in range(parts) if ends[k] < ends[k + 1]]
+            packed = [[x[ends[k] : ends[k + 1]].tobytes() for k in full] for x in (keys, owner)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in (*packed, [digests] * len(full)))], names=["part", "keys", "owner", "sets"])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")])
+        sets = np.concatenate([np.frombuffer(d.as_py(), np.int64)[np.frombuffer(o.as_py(), np.uint16)] for o, d in zip(table.column("owner"), table.column("sets"))])
+        at = np.argsort(keys, kind="stable")
+        again = keys[at[1:]] == keys[at[:-1]]
+        at = at[np.concatenate([again, [False]]) | np.concatenate([[False], again])]
+        keys, sets = keys[at], sets[at]
+        at = np.lexsort((sets, keys))
+        keys, sets = keys[at], sets[at]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])])[: len(keys)]
+        keys, sets = keys[new], sets[new]
+        _, of, held = np.unique(keys, return_inverse=True, return_counts=True)
+        held = held[of]
+        more = held > 1
+        return pa.table({"set": pa.array(sets[more], pa.int64()), "key": pa.array(keys[more].view(np.int64), pa.int64()), "n": pa.array(held[more].astype(np.int32), pa.int32())})
+
+    ship(docs.sparkSession)
+    dealt = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(deal, "part int, keys binary, owner binary, sets binary")
+    return cut(dealt.groupBy("part").applyInArrow(count, "set long, key long, n int"))
+
+
+def _prefixes(sets: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """``sets`` (set, root, size, known, tail) with the first shingles of each in an order of all: those in one set
+    only, which are counted (``alone``) and not listed, those of ``shared`` by their number of sets, then the common ones."""
+    lists = shared.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).getField("key").alias("keys"))
+    length = F.col("size") - F.ceil(F.lit(float(similarity)) * F.col("size") - F.lit(1e-6)).cast("int") + 1
+    keys = F.coalesce("keys", F.array().cast("array<long>"))
+    alone = F.least(F.col("size") - F.col("known") - F.size(keys), length)
+    some = sets.join(lists, "set", "left").select("set", "root", "size", alone.alias("alone"), F.concat(keys, "tail").alias("keys"), (length - alone).alias("more"))
+    return some.select("set", "root", "size", "alone", F.expr("slice(keys, 1, more)").alias("prefix"))
 
 
 def similar_pairs(sets: DataFrame, similarity: float, common: tuple[np.ndarray, np.ndarray] = _NONE, every: float = 1.0) -> DataFrame:
     """Candidates (a, b): all pairs of different root whose sets may have the Jaccard ``similarity``; none is left out.
 
-    sets: (set, root, size, prefix), a row for each set. The shingles of all sets are in one order. If x and y share
+    sets: (set, root, size, prefix), a row for each set; if there is a column alone, so many shingles that no other set
+    has come before the prefix and aren't listed. The shingles of all sets are in one order. If x and y share
     o >= t / (1 + t) * (|x| + |y|), t being the similarity, their first common shingle stands at places i and j with
     |x| - i >= o and |y| - j >= o. So it is in both prefixes, each of x and y is no larger than the other's place
     allows (``most``), and the smaller one's place allows a partner of its own size at least: the others needn't be
@@ -278,8 +349,8 @@ def similar_pairs(sets: DataFrame, similarity: float, common: tuple[np.ndarray,
     that the sample tells to be longer than ``_LIST`` are dealt to several tasks, each of which meets all that look up.
     """
     t = float(similarity)
-    rows = sets.select("set", "root", "size", F.posexplode("prefix").alias("at", "key"))
-    most = F.floor((F.col("size") - F.col("at")) * F.lit((1 + t) / t) + F.lit(1e-6)).cast("int") - F.col("size")
+    rows = sets.select("set", "root", "size", _alone(sets).alias("alone"), F.posexplode("prefix").alias("at", "key"))
+    most = F.floor((F.col("size") - F.col("alone") - F.col("at")) * F.lit((1 + t) / t) + F.lit(1e-6)).cast("int") - F.col("size")
     rows = rows.select("key", "set", "root", "size", most.alias("most"))
     look, held, on = rows.where("most >= size"), rows, ["key"]
     long = [(int(k.view(np.int64)), int(parts)) for k, parts in zip(common[0], -(-common[1] * every // _LIST)) if parts > 1]
@@ -296,6 +367,10 @@ def similar_pairs(sets: DataFrame, similarity: float, common: tuple[np.ndarray,
     return pairs.select(F.least("set", "set_x").alias("a"), F.greatest("set", "set_x").alias("b")).distinct()
 
 
+def _alone(sets: DataFrame) -> Column:
+    return F.col("alone") if "alone" in sets.columns else F.lit(0)
+
+
 def overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of candidates (a, b) those whose prefixes allow the ``similarity``; no pair that has it goes.
 
@@ -307,10 +382,10 @@ def overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     t = float(similarity)
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
     few = nodes.count() <= _BROADCAST_TEXTS
-    some = sets.join(F.broadcast(nodes) if few else nodes, "set", "left_semi").select("set", "size", "prefix")
-    x, y = (some.select(F.col("set").alias(c), F.col("size").alias(f"size_{c}"), F.col("prefix").alias(f"prefix_{c}")) for c in "ab")
+    some = sets.join(F.broadcast(nodes) if few else nodes, "set", "left_semi").select("set", "size", (F.col("size") - _alone(sets) - F.size("prefix")).alias("rest"), "prefix")
+    x, y = (some.select(F.col("set").alias(c), F.col("size").alias(f"size_{c}"), F.col("rest").alias(f"rest_{c}"), F.col("prefix").alias(f"prefix_{c}")) for c in "ab")
     shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
-    rest = F.greatest(*(F.col(f"size_{c}") - F.size(f"prefix_{c}") for c in "ab"))
+    rest = F.greatest("rest_a", "rest_b")
     enough = shared + rest + F.lit(1e-6) >= F.lit(t / (1 + t)) * (F.col("size_a") + F.col("size_b"))
     return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
@@ -404,9 +479,10 @@ def _similar(docs: DataFrame, fps: DataFrame, classes: DataFrame, id_col: str, t
     Candidates come from the fingerprints first: those within the radius, those of ``wide_links`` and the sets of
     one fingerprint. They make most components, and at a cost that grows with the sets and not with their pairs.
     What these lists don't show or cut off is found by ``similar_pairs`` between different components, so that no
-    pair of the similarity is left unlinked. Every candidate is verified, those of ``similar_pairs`` by their prefixes first.
+    pair of the similarity is left unlinked; for that all shingles are counted (``_shared``), since the lists of an order
+    that knows frequent ones from a sample only grow with the table, and their pairs with the square. Every candidate is verified, those of ``similar_pairs`` by their prefixes first.
     """
-    one = cut(fps.groupBy("set").agg(F.min(F.struct("fp", "wide", "weak", "size", "prefix")).alias("w")).select("set", "w.*"))
+    one = cut(fps.groupBy("set").agg(F.min(F.struct("fp", "wide", "weak", "size", "known", "tail")).alias("w")).select("set", "w.*"))
     of = one.groupBy("fp").agg(F.min("set").alias("set"), F.min(F.struct("wide", "weak")).alias("w"))
     of = cut(of.select("fp", "set", "w.wide", "w.weak"))
     close = links(of.select("fp"), radius, longest_list).unionByName(wide_links(of.select("fp", "wide", "weak"))).distinct()
@@ -416,7 +492,9 @@ def _similar(docs: DataFrame, fps: DataFrame, classes: DataFrame, id_col: str, t
     edges = cut(edges.unionByName(same))
     edges = cut(verified(edges, _texts_of(docs, classes, edges, id_col, text_col), n, similarity))
     roots = cut(components(edges))
-    sets = one.join(roots, one.set == roots.node, "left").select("set", F.coalesce("root", "set").alias("root"), "size", "prefix")
+    shared = _shared(docs, text_col, n, one.agg(F.sum("size")).first()[0] or 0, common[0])
+    rooted = one.join(roots, one.set == roots.node, "left").select("set", F.coalesce("root", "set").alias("root"), "size", "known", "tail")
+    sets = cut(_prefixes(rooted, shared, similarity))
     rest = cut(similar_pairs(sets, similarity, common, every))
     if rest.isEmpty():
         return roots

@@ -218,3 +218,36 @@ def test_few_files_whatever_the_partitions(spark, sf, tmp_path, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     assert len(list((tmp_path / "out").glob("*.parquet"))) <= 2 * cores
     assert len(made[0].inputFiles()) <= 8 * cores
+
+
+def _passages(groups, of, r):
+    """Texts of 300 words; those of a group share 90 of them, any other words are their own."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    passages = [[word() for _ in range(90)] for _ in range(groups)]
+    return [(i, " ".join(passages[i % groups] + [word() for _ in range(210)])) for i in range(groups * of)]
+
+
+def test_passages_that_no_sample_shows_make_no_candidates(spark, monkeypatch):
+    """A group's pairs are the square of its size; before, all of them met in the passage's shingles."""
+    monkeypatch.setattr(simhash, "_SAMPLE", 4)
+    docs = spark.createDataFrame(_passages(6, 20, random.Random(16)), "doc_id long, text string")
+    met, similar_pairs = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda *a: met.append(similar_pairs(*a)) or met[-1])
+    found = simhash.near_duplicates(docs, n=5, radius=3, wide=True).collect()
+    assert len(found) == 120 and all(x.id == x.component_id for x in found)
+    assert met[0].count() == 0
+
+
+def test_shared_shingles_are_counted_exactly(spark, monkeypatch):
+    """In one part or many; copies count once, wherever they stand, and common ones not at all."""
+    rows = _passages(3, 4, random.Random(17)) + [(100, None), (101, ""), (102, "one two")]
+    rows += [(200 + i, rows[0][1]) for i in range(3)]
+    sets = {simhash._set_digest(x): x for x in (simhash._distinct(simhash._hashes(t, 5)) for _, t in rows)}
+    holders = Counter(h for x in sets.values() for h in x.tolist())
+    common = np.array(sorted(h for h, c in holders.items() if c > 1)[:20], np.uint64)
+    want = {(d, int(np.uint64(h).view(np.int64)), holders[h]) for d, x in sets.items() for h in x.tolist() if holders[h] > 1 and h not in set(common.tolist())}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for part in (1 << 21, 100):
+        monkeypatch.setattr(simhash, "_PART", part)
+        got = [tuple(x) for x in simhash._shared(docs, "text", 5, sum(map(len, sets.values())), common).collect()]
+        assert len(want) > 500 and len(got) == len(want) and set(got) == want
