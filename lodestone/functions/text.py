@@ -8,6 +8,8 @@ DuckDB and others read alike. Offsets are code points: sums of ``length``.
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -105,6 +107,19 @@ def unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 
 
+_CLOSED = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed(found: re.Match) -> str:
+    return html.unescape(found[0]) if found[1][0] == "#" else html5.get(f"{found[1]};", found[0])
+
+
+@F.pandas_udf(StringType())
+def unescape_closed(x: pd.Series) -> pd.Series:
+    """All of HTML's entities that end in a semicolon; what ``unescape`` reads without one (&amp, &ampx;) stays."""
+    return x.map(lambda s: _CLOSED.sub(_closed, s), na_action="ignore")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def unescape_each(x: pd.Series) -> pd.Series:
     """All of HTML's entities in each text of an array; within a lambda no Python can run."""
